@@ -78,7 +78,7 @@ def library_ids(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aAbB 'sSLl\n\t \x85\x1ćİΣé<|>endoftx12$#中\U0001f600 "), max_size=40))
+@given(st.text(alphabet=st.sampled_from("aAbB 'sSLlßÖé.,_\n\t \x85\x1ćİΣé<|>endoftx12$#中\U0001f600 "), max_size=40))
 def test_encoder_equals_library(text):
     assert np.frombuffer(tokens.encoder(None, 1).encode(text), "<u4").tolist() == library_ids(text)
 
@@ -87,8 +87,17 @@ def test_encoder_on_texts():
     for t in TEXTS:
         assert np.frombuffer(tokens.encoder(None, 1).encode(t), "<u4").tolist() == library_ids(t)
     small = tokens.Encoder()
-    small.used = tokens.CACHE_BYTES + 1
-    assert small.encode("again and again") == tokens.encoder(None, 1).encode("again and again")
+    small.encode("again and again")
+    small.known.used, small.known.words.used = tokens.CHUNK_BYTES + 1, tokens.WORD_BYTES
+    for _ in range(2):
+        assert small.encode("Again, and again; öÉß") == tokens.encoder(None, 1).encode("Again, and again; öÉß")
+
+
+def test_simple_chunks_equal_library():
+    letters = [chr(c) for c in range(1, 0x180) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    for t in [*letters, *("x" + m for m in marks), *(a + b + "." for a, b in zip(letters, letters[1:], strict=False)), "it's", "we'll.", "a" * 300, "É" * 300 + "!?"]:
+        assert np.frombuffer(tokens.encoder(None, None).encode(t), "<u4").tolist() == library_ids(t)[:-1], t
 
 
 def crc(ids):
