@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import LOWER_BYTES, crc_mod5, sample_by_hash, scratch, utf8
+from tarnfield.llm.common import LOWER_BYTES, crc_mod5, sample_by_hash, scratch, slices, utf8
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
 #: Bounds of what is learnt: labelled rows, words with a vector, dimensions.
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voca
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in utf8(batch.column("text")):
                 seen.update({t: 1 for t in tokens_of(text) if len(t) <= LONG_TOKEN})
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voca
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(shared.value[1])
-        for batch in batches:
+        for batch in slices(batches):
             total += cooccurrence(utf8(batch.column("text")), *shared.value)
         yield pa.RecordBatch.from_pydict({"m": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voca
     pooled = spark.sparkContext.broadcast(model)
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [pooled.value.pooled(t).astype("<f4").tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "v": pa.array(got, pa.binary())})
 
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.stack([shared.value.pooled(t) for t in utf8(batch.column("text"))]).astype(float)
             score = shared.value.scores(rows)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})

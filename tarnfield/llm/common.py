@@ -58,6 +58,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows: what a kernel holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -75,10 +82,8 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: s
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = {c: batch.column(c) for c in carry} | kernel(batch)
-                yield pa.RecordBatch.from_pydict(got)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | kernel(batch))
 
     return df.mapInArrow(run, out)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import LOWER_BYTES, scratch, utf8
+from tarnfield.llm.common import LOWER_BYTES, scratch, slices, utf8
 
 #: Bytes that belong to words after lower-casing; all others become spaces.
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in LOWER_BYTES)
@@ -146,7 +146,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [[], [], []]
                 for text in utf8(batch.column("text")):
                     words = words_of(text)
@@ -175,7 +175,7 @@ def _scan_blocks(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) ->
         shared = spark.sparkContext.broadcast(Windows.build(block, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 got = []
                 for row, text in zip(batch.column("_row").to_pylist(), utf8(batch.column("text")), strict=True):
                     hit, own = shared.value.scan(words_of(text))
@@ -188,7 +188,7 @@ def _scan_blocks(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) ->
     merged = found.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_row": batch.column("_row"), "n_words": pa.array([len(words_of(t)) for t in utf8(batch.column("text"))], pa.int64())})
 
     counted = rows.mapInArrow(count, "doc_id long, _row long, n_words long").join(merged, "_row", "left")
@@ -210,7 +210,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, how: str
         shared = spark.sparkContext.broadcast(Windows.build(block, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts, null = utf8(batch.column("text")), batch.column("text").is_null().to_pylist()
                 hits = [shared.value.scan(words_of(t))[0] for t in texts]
                 if how == "documents":

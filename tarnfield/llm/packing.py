@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import scratch, strings
+from tarnfield.llm.common import scratch, slices, strings
 from tarnfield.llm.tokens import END_ID, encoder
 
 LONGEST = 2048
@@ -44,7 +44,7 @@ def pack(docs: DataFrame, longest: int = LONGEST, vocabulary: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, ranks = encoder(vocabulary, end_id).encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             owner, cols, ids = [], {k: [] for k in ("start", "length", "ids_crc32", "doc_tokens", "_rank")}, []
             for k, text in enumerate(strings(batch.column("text"))):
                 raw = encode(text)

@@ -23,7 +23,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnfield.llm.common import strings
+from tarnfield.llm.common import slices, strings
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_RATIO = 2.2
@@ -95,7 +95,7 @@ def find_secrets(docs: DataFrame, ranks_path: str | None = None, max_ratio: floa
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans_of(t, ranks_path, max_ratio) for t in strings(batch.column("text"))]
             base = [[s for s in spans if s[0] != "random"] for spans in found]
             counts = {f"n_{k}": pa.array([sum(s[0] == k for s in spans) for spans in found], pa.int64()) for k in KINDS}
@@ -117,7 +117,7 @@ def redact_secrets(docs: DataFrame, ranks_path: str | None = None, max_ratio: fl
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = [None if t is None else masked(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
