@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Base spans come from three patterns. The method adds spans of kind ``random``:
-runs of 20 to 512 characters of a key's alphabet that mix digits with letters and
+runs of 20 characters or more of a key's alphabet that mix digits with letters and
 have fewer than ``MAX_RATIO`` characters per token under a byte-level vocabulary, for
 words and identifiers compress well and random strings don't. Known digests (hex of
 a common digest length, UUIDs, digests after an algorithm's name) and identifiers
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,11 +28,11 @@ from tarnfield.llm.common import slices, strings
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_RATIO = 2.2
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!=)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9A-Fa-f]+|(?:md5|sha1|sha224|sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words of three letters or more joined by separators or capitals, with numbers between them.
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})[0-9]{0,4}|[0-9]{1,8}|[/_+=-])+")
+#: Words joined by separators, capitals or numbers. No part can match in two ways, so a failure costs no retries.
+IDENTIFIER = re.compile(r"(?:[A-Z]{3,}+|[A-Z]?+[a-z]{2,}+|[0-9/_+=-]++)++")
 
 
 def either_case(word: str) -> str:
@@ -69,10 +70,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[str, int, int]], ranks_path: str | None = None, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
-    out = []
+    out, starts, reach = [], sorted(a for _, a, _ in base), 0
+    ends = []  # the furthest end of the base spans up to each start
+    for _, _, b in sorted(base, key=lambda s: s[1]):
+        ends.append(reach := max(reach, b))
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or any(a < m.end() and m.start() < b for _, a, b in base):
+        run, before = m[0], bisect_left(starts, m.end())
+        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or before and ends[before - 1] > m.start():
             continue
         if DIGEST.fullmatch(run) and (not re.fullmatch("[0-9A-Fa-f]+", run) or len(run) in DIGEST_LENGTHS) or IDENTIFIER.fullmatch(run):
             continue

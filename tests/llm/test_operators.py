@@ -450,3 +450,10 @@ def test_running_sums_over_many_matches(spark):
     text = "a@b.c " * 1500
     got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [s.start for s in got.spans] == [6 * k for k in range(1500)]
+
+
+def test_random_runs_of_any_length():
+    word, run = "a" * 5000, "qX9zL2mW8vR4tY7uP1sD" * 50
+    assert secrets.spans_of(f"x {word}1B {run}") == [("hex", 2, 5003), ("random", 5005, 6005)]
+    assert secrets.spans_of("k" * 4000 + "Word12345678901234567890_NAME/path") == []
+    assert secrets.spans_of(f"token={run} {run}") == [("assign", 0, 1006), ("random", 1007, 2007)]
