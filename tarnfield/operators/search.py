@@ -89,8 +89,8 @@ def corpus_stats(chunks: DataFrame, body_copies: int = 2) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(indexed_length(chunks, body_copies)).alias("avgdl"))
 
 
-def indexed_length(chunks: DataFrame, body_copies: int) -> Column:
-    own = F.size(T.tokens(F.col("text"))) * body_copies
+def indexed_length(chunks: DataFrame, body_copies: int, tokens: Column | None = None) -> Column:
+    own = F.size(T.tokens(F.col("text")) if tokens is None else tokens) * body_copies
     return own + F.size(T.tokens(F.concat_ws(" ", "heading_path"))) if "heading_path" in chunks.columns else own
 
 
@@ -100,36 +100,45 @@ def _occurrences(tokens: Column, phrase: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit("(?= "), F.array_join(phrase, " "), F.lit(" )")))
 
 
+def _phrase_count(starts: Column, n: Column) -> Column:
+    """Places where all ``n`` words of a phrase stand in turn; each array holds where the phrase would begin by one of its words."""
+    common = F.aggregate(F.slice(starts, F.lit(2), F.size(starts)), starts[0], F.array_intersect)
+    return F.when((n > 1) & (F.size(starts) == n), F.size(common)).otherwise(0)
+
+
 def match_scores(queries: DataFrame, chunks: DataFrame, body_copies: int = 2, within: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, doc_id, raw (negative, lower is better) of all chunks that hold all of a query's tokens.
 
     ``within`` restricts hits to documents; the statistics stay those of the whole
-    corpus. Only rows of query terms leave the scan; phrase counts are made for hits alone.
+    corpus. Texts are read once for the statistics and once for the places of query
+    words; only those places leave the scan, and phrases are counted from them.
     """
     asked = queries.select("query_id", T.query_tokens(F.col("text")).alias("terms"), T.tokens(F.col("text")).alias("phrase")).where(F.size("terms") > 0)
-    asked = small(asked)
-    terms = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    wanted = small(terms.select("term").distinct(), 100_000)
-    body = chunks.select("chunk_id", "doc_id", T.tokens(F.col("text")).alias("tokens"), indexed_length(chunks, body_copies).alias("dl"))
-    counted = body.select("chunk_id", "doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = counted.groupBy("term", "chunk_id", "doc_id", "dl").agg((F.count(F.lit(1)) * body_copies).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = asked.select("query_id", "terms", F.size("terms").alias("n_terms"), F.size("phrase").alias("n_phrase"), F.posexplode("phrase").alias("at", "term"))
+    words = small(placed.groupBy("query_id", "term", "n_terms", "n_phrase", F.array_contains("terms", F.col("term")).alias("counts")).agg(F.collect_list("at").alias("ats")), 100_000)
+    wanted = small(words.select("term").distinct(), 100_000)
+    body = chunks.select("*", T.tokens(F.col("text")).alias("_tokens")).select("chunk_id", "doc_id", indexed_length(chunks, body_copies, F.col("_tokens")).alias("dl"), "_tokens")
+    found = body.select("chunk_id", "doc_id", "dl", F.posexplode("_tokens").alias("pos", "term")).join(wanted, "term", "left_semi")
+    tf = found.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.collect_list("pos").alias("places"))
+    # naming the places keeps this branch's exchange equal to the other's, so it is made once
+    df = tf.groupBy("term").agg(F.sum(F.when(F.size("places") > 0, 1)).alias("df"))
     stats = F.broadcast(corpus_stats(chunks, body_copies))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    def part(n: Column) -> Column:
+        tf_ = n * body_copies
+        return tf_ * (K1 + 1) / (tf_ + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
     def idf(n: str) -> Column:
         x = F.log((F.col("n_chunks") - F.col(n) + 0.5) / (F.col(n) + 0.5))
         return F.when(x > 0, x).otherwise(FLOOR_IDF)
 
-    each = tf.join(df, "term").join(terms, "term").crossJoin(stats).withColumn("s", idf("df") * part)
-    both = each.groupBy("query_id", "chunk_id", "doc_id", "dl").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
-    # a phrase of one token is that token and counts once
-    long_ = asked.where(F.size("phrase") > 1).select("query_id", "phrase")
-    phrased = both.select("query_id", "chunk_id").join(long_, "query_id").join(body.select("chunk_id", "tokens"), "chunk_id").select("query_id", "chunk_id", (_occurrences(F.col("tokens"), F.col("phrase")) * body_copies).alias("tf")).where("tf > 0")
-    spread = phrased.groupBy("query_id").agg(F.count(F.lit(1)).alias("phrase_df"))
-    extra = phrased.join(spread, "query_id")
-    scored = both.join(extra, ["query_id", "chunk_id"], "left").crossJoin(stats).withColumn("s2", F.coalesce(F.when(F.col("tf") > 0, idf("phrase_df") * part), F.lit(0.0)))
-    out = scored.select("query_id", "chunk_id", "doc_id", (-(F.col("s") + F.col("s2"))).alias("raw"))
+    each = tf.join(df, "term").join(words, "term").crossJoin(stats)
+    each = each.withColumn("s", F.when(F.col("counts"), idf("df") * part(F.size("places")))).withColumn("starts", F.transform("ats", lambda o: F.transform("places", lambda p: p - o)))
+    both = each.groupBy("query_id", "chunk_id", "doc_id", "dl", "n_terms", "n_phrase").agg(F.sum("s").alias("s"), F.count("s").alias("n_found"), F.flatten(F.collect_list("starts")).alias("starts")).where("n_found = n_terms")
+    both = both.select("query_id", "chunk_id", "doc_id", "dl", "s", _phrase_count(F.col("starts"), F.col("n_phrase")).alias("n_whole"))
+    spread = both.groupBy("query_id").agg(F.sum(F.when((F.col("n_whole") > 0) & F.col("s").isNotNull(), 1)).alias("phrase_df"))
+    whole = F.coalesce(F.when(F.col("n_whole") > 0, idf("phrase_df") * part(F.col("n_whole"))), F.lit(0.0))
+    out = both.join(spread, "query_id").crossJoin(stats).select("query_id", "chunk_id", "doc_id", (-(F.col("s") + whole)).alias("raw"))
     return out.join(within.select("doc_id"), "doc_id", "left_semi").select("query_id", "chunk_id", "doc_id", "raw") if within is not None else out
 
 

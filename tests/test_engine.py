@@ -1,5 +1,6 @@
 """Hand-computed answers for the engine's rules."""
 
+import math
 import datetime as dt
 
 import pytest
@@ -208,3 +209,21 @@ def test_entry_and_registry(spark, sf):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "rank" in e.entry(spark).columns
+
+
+def test_phrases_with_repeated_and_short_words(spark):
+    """A phrase counts where all its words stand in turn, short and repeated ones included; each occurrence counts."""
+    texts = {"c1": "go go go", "c2": "go stop go", "c3": "see a bee", "c4": "see bee a see", "c5": "none", "c6": "other", "c7": "words", "c8": "here"}
+    chunks = spark.createDataFrame([(k, k, t) for k, t in texts.items()], "chunk_id string, doc_id string, text string")
+    queries = spark.createDataFrame([("q1", "go go"), ("q2", "see a bee"), ("q3", "a"), ("q4", None)], "query_id string, text string")
+    raw = {(r.query_id, r.chunk_id): r.raw for r in search.match_scores(queries, chunks, body_copies=1).collect()}
+    mean = sum(len(t.split()) for t in texts.values()) / len(texts)
+
+    def part(tf, df, dl):
+        return max(math.log((8 - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))
+
+    want = {
+        ("q1", "c1"): -(part(3, 2, 3) + part(2, 1, 3)), ("q1", "c2"): -part(2, 2, 3),
+        ("q2", "c3"): -(2 * part(1, 2, 3) + part(1, 1, 3)), ("q2", "c4"): -(part(2, 2, 4) + part(1, 2, 4)),
+    }
+    assert raw.keys() == want.keys() and all(abs(raw[k] - want[k]) < 1e-9 for k in want)
