@@ -32,7 +32,8 @@ from tarnfield.llm.common import LOWER_BYTES, scratch, slices, utf8
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in LOWER_BYTES)
 #: 0x7F and control characters are spaces, too; bytes of 0x80 and above are parts of UTF-8 letters.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one hash set. A window takes some 700 bytes while the set is built: 440 MB on the driver for 4 MB of words of five letters.
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,7 +75,9 @@ class Windows:
         for width in sorted({len(w) for w in found}):
             rows = [w for w in found if len(w) == width]
             grid = np.array(rows, dtype=np.uint64)
-            keys = np.array([rolling(g, width)[0] for g in grid], dtype=np.uint64)
+            keys = np.zeros(len(grid), dtype=np.uint64)
+            for k in range(width):
+                keys = keys * MULTIPLIER + grid[:, k]
             order = np.argsort(keys, kind="stable")
             own.by_width[width] = keys[order], grid[order], [list(found[rows[i]]) for i in order]
         return own
