@@ -41,15 +41,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """64-bit polynomial hash of each run of ``width`` word numbers."""
-    n = len(ids) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(width if n > 0 else 0):
-        out = out * MULTIPLIER + ids[k : k + n]
-    return out
-
-
 @dataclass
 class Windows:
     """Sorted window hashes for each window width, with the words and items behind them."""
