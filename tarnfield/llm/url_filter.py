@@ -3,7 +3,7 @@
 A rule is a host, a path prefix and a verdict; it fits its host and all
 subdomains where the URL's path starts with the rule's, and the longest rule wins.
 The rules' strings (host + path) are hashed by 64-bit xxHash; the sorted keys lie
-in a memory-mapped file beside the strings themselves. A URL's candidates (each
+in a memory-mapped anonymous file (in memory, in no folder) beside the strings themselves. A URL's candidates (each
 suffix of its host with each prefix of its path of a length that some rule has)
 are hashed and probed by vectorised binary search, and each hit is confirmed
 against the stored string, so a collision of digests decides nothing.
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +38,11 @@ SEED = 0
 BROADCAST_BYTES = 64 << 20
 
 
+def shape_of(rules: list[tuple[str, str, str]]) -> tuple[tuple[int, ...], int]:
+    """Lengths of the rules' paths, and the most labels of a rule's host: no other prefix or suffix of a URL can be a rule."""
+    return tuple(sorted({len(p) for _, p, _ in rules})), max((h.count(".") + 1 for h, _, _ in rules), default=0)
+
+
 @dataclass
 class DigestArray:
     """Sorted keys with strings and verdicts; ``open`` maps the file form."""
@@ -48,6 +52,7 @@ class DigestArray:
     strings: bytes | mmap.mmap
     blocks: np.ndarray
     path_lengths: tuple[int, ...]
+    most_labels: int
 
     @classmethod
     def build(cls, rules: list[tuple[str, str, str]]) -> DigestArray:
@@ -60,24 +65,24 @@ class DigestArray:
         texts, verdicts = [texts[i] for i in order], list(first.values())
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         blocks = np.array([verdicts[i] == "block" for i in order], dtype=np.uint8)
-        return cls(keys[order], offsets, b"".join(texts), blocks, tuple(sorted({len(p) for _, p, _ in rules})))
+        return cls(keys[order], offsets, b"".join(texts), blocks, *shape_of(rules))
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.keys), len(self.path_lengths), *self.path_lengths], dtype=np.int64)
+        head = np.array([len(self.keys), self.most_labels, len(self.path_lengths), *self.path_lengths], dtype=np.int64)
         return head.tobytes() + self.keys.tobytes() + self.offsets.tobytes() + self.blocks.tobytes() + bytes(self.strings)
 
     @classmethod
-    def open(cls, path: str) -> DigestArray:
-        """Memory-maps a file of ``to_bytes``."""
-        with open(path, "rb") as f:
+    def open(cls, file: str | int) -> DigestArray:
+        """Memory-maps a file of ``to_bytes``, given by its path or its descriptor (which is closed)."""
+        with open(file, "rb") as f:
             held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, m = np.frombuffer(held, np.int64, 2)
-        lengths = tuple(int(x) for x in np.frombuffer(held, np.int64, m, 16))
-        at = 16 + 8 * int(m)
+        n, labels, m = np.frombuffer(held, np.int64, 3)
+        lengths = tuple(int(x) for x in np.frombuffer(held, np.int64, m, 24))
+        at = 24 + 8 * int(m)
         keys = np.frombuffer(held, np.uint64, n, at)
         offsets = np.frombuffer(held, np.int64, n + 1, at := at + 8 * int(n))
         blocks = np.frombuffer(held, np.uint8, n, at := at + 8 * (int(n) + 1))
-        return cls(keys, offsets, memoryview(held)[at + int(n) :], blocks, lengths)
+        return cls(keys, offsets, memoryview(held)[at + int(n) :], blocks, lengths, int(labels))
 
     def probe(self, texts: list[bytes]) -> np.ndarray:
         """Position of each string in the array, or -1."""
@@ -97,10 +102,11 @@ def host_path(url: str = "url"):
     return F.translate(F.regexp_extract(text, r"(?s)://([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(text, r"(?s)://[^/?#]*([^?#]*)", 1)
 
 
-def candidates(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
+def candidates(host: str, path: str, lengths: tuple[int, ...], most_labels: int) -> list[str]:
     """Strings of the rules that could fit, the longest first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))] if host else []
+    labels = host.rsplit(".", most_labels)
+    # with more labels than any rule has, the first part is all the rest of the host
+    hosts = [".".join(labels[k:]) for k in range(len(labels) > most_labels, len(labels))] if host else []
     found = {h + path[:n] for h in hosts if h for n in lengths if n <= len(path)}
     return sorted(found, key=lambda s: (-len(s), s))
 
@@ -116,18 +122,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = list(RULES
     shared = spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # each task maps its own copy; the file has no name any more once it is mapped
-        fd, name = tempfile.mkstemp(prefix="digests-")
-        try:
-            with os.fdopen(fd, "wb") as f:
-                f.write(shared.value)
-            own = DigestArray.open(name)
-        finally:
-            os.unlink(name)
+        # each task maps its own copy; the file is in memory and goes with the mapping
+        fd = os.memfd_create("digests")
+        with os.fdopen(os.dup(fd), "wb") as f:
+            f.write(shared.value)
+        own = DigestArray.open(fd)
         for batch in batches:
             flat, owner = [], []
             for k, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                for c in candidates(h, p, own.path_lengths):
+                for c in candidates(h, p, own.path_lengths, own.most_labels):
                     flat.append(c.encode())
                     owner.append(k)
             found, rule, verdict = own.probe(flat), [None] * batch.num_rows, [default] * batch.num_rows
@@ -144,11 +147,11 @@ def _join_rules(rows: DataFrame, rules: list[tuple[str, str, str]], default: str
     first: dict[str, str] = {}
     for h, p, v in rules:
         first.setdefault(f"{h}{p}", v)
-    lengths = tuple(sorted({len(p) for _, p, _ in rules}))
+    lengths, most = shape_of(rules)
     listed = spark.createDataFrame(list(first.items()), "rule string, rule_verdict string").withColumn("digest", F.xxhash64("rule"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    hosts = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    hosts = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
     tried = rows.select("_row", F.explode(F.array_distinct(F.flatten(F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))).alias("rule")).withColumn("digest", F.xxhash64("rule"))
     best = tried.join(listed.hint("shuffle_merge"), ["digest", "rule"]).groupBy("_row").agg(F.max_by(F.struct("rule", "rule_verdict"), F.length("rule")).alias("best"))
