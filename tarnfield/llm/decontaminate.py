@@ -10,14 +10,14 @@ null item_id counts as an item without an id and is left out; repeated item rows
 count once; rows with a null or repeated doc_id stay rows of their own.
 
 The hash set is built on the driver from at most ``block_bytes`` of benchmark
-text. A larger benchmark is taken in blocks by hash of the item, each block with
-its own scan, and the blocks' hits are merged per document row: no part of the
+words. A larger benchmark is cut into pieces that share all but one word of a window,
+the pieces are dealt to blocks by hash and the blocks' sizes are checked; each block
+has its own scan, and the blocks' hits are merged per document row: no part of the
 benchmark is left out and none is broadcast beyond the bound.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -86,14 +86,14 @@ class Windows:
             if not len(starts):
                 continue
             # only windows of benchmark words can be hits: the rest is never hashed
-            rows = ids[starts[:, None] + np.arange(width)]
             hashes = np.zeros(len(starts), dtype=np.uint64)
             for k in range(width):
-                hashes = hashes * MULTIPLIER + rows[:, k]
+                hashes = hashes * MULTIPLIER + ids[starts + k]
             left, right = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
             for i in np.flatnonzero(right > left):
+                own = ids[starts[i] : starts[i] + width]
                 for k in range(left[i], right[i]):
-                    if np.array_equal(rows[i], grid[k]):
+                    if np.array_equal(own, grid[k]):
                         hit[starts[i] : starts[i] + width] = True
                         items.update(owners[k])
         return hit, items
@@ -120,23 +120,60 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*keep, text[at:]])
 
 
-def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's rows in blocks of about ``block_bytes``, one on the driver at a time."""
-    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // block_bytes + 1
-    for k in range(n):
-        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in rows.collect()]
+def item_pieces(items: DataFrame, n: int, piece_bytes: int) -> DataFrame:
+    """Distinct (item_id, words of the text); a long item is cut into pieces that share ``n - 1`` words, so each window lies in one."""
+    items = items.select("item_id", "text").where("item_id is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            owner, pieces = [], []
+            for row, text in enumerate(utf8(batch.column("text"))):
+                words, at, end = words_of(text), 0, 0
+                while end < len(words):
+                    size = 0
+                    while end < len(words) and (size < piece_bytes or end - at < n):
+                        size += len(words[end]) + 1
+                        end += 1
+                    owner.append(row)
+                    pieces.append(b" ".join(words[at:end]))
+                    at = end - n + 1
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id").take(pa.array(owner, pa.int64())), "text": pa.array(pieces, pa.binary()).cast(pa.string())})
+
+    return items.mapInArrow(run, items.schema).distinct()
+
+
+def blocks_of(items: DataFrame, n: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark's pieces with their block number ``_block``, and the number of blocks.
+
+    Blocks are dealt by hash and counted: there are so many that none holds more than
+    ``block_bytes`` and one piece. A piece is a sixteenth of that, or a single window.
+    """
+    pieces = item_pieces(items, n, max(1, block_bytes // 16))
+    size, longest = pieces.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    number = (size or 0) // block_bytes + 1
+    while True:
+        dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(number)))
+        if number == 1:
+            return dealt, number
+        most = dealt.groupBy("_block").agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size")).first()[0]
+        if most <= block_bytes + longest:
+            return scratch(dealt, "benchmark-blocks"), number
+        number += number // 2 + 1
+
+
+def windows_of(blocks: tuple[DataFrame, int], n: int) -> Iterator[Windows]:
+    """The hash set of each block, one on the driver at a time."""
+    for k in range(blocks[1]):
+        yield Windows.build([(r["item_id"], r["text"].encode()) for r in blocks[0].where(F.col("_block") == k).collect()], n)
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     spark = docs.sparkSession
     out = "doc_id long, n_words long, n_hit long, item_ids array<string>, n_items long, contaminated boolean"
-    sets = [Windows.build(rows, n) for rows in blocks_of(items, block_bytes)] if _one_block(items, block_bytes) else None
-    if sets is not None:
-        shared = spark.sparkContext.broadcast(sets[0])
+    blocks = blocks_of(items, n, block_bytes)
+    if blocks[1] == 1:
+        shared = spark.sparkContext.broadcast(next(windows_of(blocks, n)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
@@ -153,20 +190,14 @@ def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes:
                 })
 
         return docs.select("doc_id", "text").mapInArrow(run, out)
-    return _scan_blocks(docs, items, n, block_bytes)
-
+    return _scan_blocks(docs, blocks, n)
 
-def _one_block(items: DataFrame, block_bytes: int) -> bool:
-    return (items.where("item_id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0) < block_bytes
 
-
-def _scan_blocks(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """Beyond the bound: a scan for each block; a document's hit bitmaps are or-ed together by row."""
-    spark = docs.sparkSession
-    rows = scratch(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+def _hits(rows: DataFrame, blocks: tuple[DataFrame, int], n: int) -> DataFrame:
+    """(_row, at, item_ids): places of the hit words and occurring items of the rows that have any, over all blocks."""
     found = None
-    for block in blocks_of(items, block_bytes):
-        shared = spark.sparkContext.broadcast(Windows.build(block, n))
+    for windows in windows_of(blocks, n):
+        shared = rows.sparkSession.sparkContext.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -179,16 +210,33 @@ def _scan_blocks(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) ->
 
         part = scratch(rows.select("_row", "text").mapInArrow(run, "_row long, at array<long>, ids array<string>"), "decontaminate-hits")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    return found.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+
+
+def _scan_blocks(docs: DataFrame, blocks: tuple[DataFrame, int], n: int) -> DataFrame:
+    """Beyond the bound: a scan for each block; a document's hits are merged by row."""
+    rows = scratch(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_row": batch.column("_row"), "n_words": pa.array([len(words_of(t)) for t in utf8(batch.column("text"))], pa.int64())})
 
-    counted = rows.mapInArrow(count, "doc_id long, _row long, n_words long").join(merged, "_row", "left")
-    n_hit = F.coalesce(F.size("at").cast("long"), F.lit(0))
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return counted.select("doc_id", "n_words", F.greatest(n_hit, F.lit(0)).alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), (F.greatest(n_hit, F.lit(0)) > 0).alias("contaminated"))
+    counted = rows.mapInArrow(count, "doc_id long, _row long, n_words long").join(_hits(rows, blocks, n), "_row", "left")
+    n_hit, ids = F.coalesce(F.array_size("at").cast("long"), F.lit(0)), F.coalesce("item_ids", F.array().cast("array<string>"))
+    return counted.select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
+
+
+def _cut_batch(batch: pa.RecordBatch, hits: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows without their hit words; null texts stay null, n_chars follows where a text changes."""
+    null = batch.column("text").is_null().to_pylist()
+    kept = [None if z else cut(t, h).decode() if h.any() else t.decode() for t, h, z in zip(utf8(batch.column("text")), hits, null, strict=True)]
+    fresh = {"text": kept}
+    if "n_chars" in batch.schema.names:
+        fresh["n_chars"] = [len(t) if h.any() else old for old, h, t in zip(batch.column("n_chars").to_pylist(), hits, kept, strict=True)]
+    for name, values in fresh.items():
+        at = batch.schema.get_field_index(name)
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+    return batch
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, how: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -197,31 +245,28 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, how: str
     ``how='documents'`` drops each document that holds a window; ``how='spans'``
     cuts the hit words out of the text and keeps the rest (n_chars is set anew
     where there is such a column). A benchmark beyond ``block_bytes`` is taken
-    block after block, each on what the last one left.
+    block after block; spans are cut once, when all blocks' hits are known.
     """
-    columns, spark = docs.schema, docs.sparkSession
-    for block in blocks_of(items, block_bytes):
-        shared = spark.sparkContext.broadcast(Windows.build(block, n))
+    columns, spark, blocks = docs.schema, docs.sparkSession, blocks_of(items, n, block_bytes)
+    if how == "spans" and blocks[1] > 1:
+        rows = scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+
+        def cut_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                hits = []
+                for places, text in zip(batch.column("at").to_pylist(), utf8(batch.column("text")), strict=True):
+                    hits.append(np.zeros(len(words_of(text)), dtype=bool))
+                    hits[-1][np.array(places or [], dtype=np.int64)] = True
+                yield _cut_batch(batch, hits).select(columns.names)
+
+        return rows.join(_hits(rows, blocks, n).select("_row", "at"), "_row", "left").mapInArrow(cut_known, columns)
+    for windows in windows_of(blocks, n):
+        shared = spark.sparkContext.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                texts, null = utf8(batch.column("text")), batch.column("text").is_null().to_pylist()
-                hits = [shared.value.scan(words_of(t))[0] for t in texts]
-                if how == "documents":
-                    yield batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
-                    continue
-                kept = [None if z else cut(t, h).decode() if h.any() else t.decode() for t, h, z in zip(texts, hits, null, strict=True)]
-                at = batch.schema.get_field_index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
-                if (at := batch.schema.get_field_index("n_chars")) >= 0:
-                    sizes = [old if not h.any() else len(t) for old, h, t in zip(batch.column(at).to_pylist(), hits, kept, strict=True)]
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
-                yield batch
+                hits = [shared.value.scan(words_of(t))[0] for t in utf8(batch.column("text"))]
+                yield _cut_batch(batch, hits) if how == "spans" else batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
 
         docs = docs.mapInArrow(run, columns)
     return docs
-
-
-def items_digest(ids: list[str]) -> str:
-    """Hex SHA-256 of the comma-joined ids."""
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

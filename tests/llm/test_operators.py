@@ -65,6 +65,25 @@ def test_decontamination_equals_brute_force(spark, docs, no_docs, block):
     assert spans.count() == len(DOCS)
 
 
+def test_benchmark_blocks_are_bounded_and_lose_no_window(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "cdé", "e", "f" * 30]) for _ in range(k)) for k in (0, 1, 9, 10, 11, 400, 3000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    want = {(str(k), tuple(w[i : i + min(10, len(w))])) for k, t in enumerate(texts) for w in [t.encode().split()] if w for i in range(max(1, len(w) - 9))}
+    for bound in (800, 1 << 20):
+        blocks, got = decontaminate.blocks_of(items, 10, bound), set()
+        rows = blocks[0].collect()
+        sizes = Counter()
+        for r in rows:
+            sizes[r["_block"]] += len(r.text.encode())
+        assert max(sizes.values()) <= bound + max(len(r.text.encode()) for r in rows) and (blocks[1] == 1) == (bound > 800)
+        for own in decontaminate.windows_of(blocks, 10):
+            word = {v: k for k, v in own.vocabulary.items()}
+            for _, grid, owners in own.by_width.values():
+                got |= {(own.items[o], tuple(word[i] for i in row)) for row, os in zip(grid.tolist(), owners, strict=True) for o in os}
+        assert got == want
+
+
 def test_decontamination_without_items(spark, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan_documents(docs, items).where("contaminated").count() == 0
@@ -156,7 +175,7 @@ def test_token_files_have_page_indexes(spark, docs, tmp_path):
 
 
 # 3 ---------------------------------------------------------------------------------------------
-URLS = ["https://a.org/x", "http://ORG", "http://org/", "https://m.example.org/es/a?b#c", "https://example.org/en/123", "https://example.org/en/2", "https://x.example.org:80/es/", "https://notexample.org/es/", "http://a.com/fr/1", "http://a.com/de/1", "http://a.com/en", "http://a.net?x=/de/", "nothing", "", None, "http://", "http://a.com/de/://b.com/fr/", "http://..com/fr/", "http://É.org/\nq", "http://a.org/#"]
+URLS = ["https://a.org/x", "http://ORG", "http://org/", "https://m.example.org/es/a?b#c", "https://example.org/en/123", "https://example.org/en/2", "https://x.example.org:80/es/", "https://notexample.org/es/", "http://a.com/fr/1", "http://a.com/de/1", "http://a.com/en", "http://a.net?x=/de/", "nothing", "", None, "http://", "http://a.com/de/://b.com/fr/", "http://..com/fr/", "http://É.org/\nq", "http://a.org/#", "http://" + "a." * 30000 + "org/x", "http://" + "a." * 30000 + "example.org/es/" + "x" * 90000]
 
 
 def brute_rule(url):
