@@ -28,7 +28,8 @@ from tarnfield.llm.common import slices, strings
 
 KINDS = ("assign", "access", "hex", "random")
 MAX_RATIO = 2.2
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!=)")
+#: '=' is padding at a run's end only: a run may start right after it, as in name=value.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!=)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9A-Fa-f]+|(?:md5|sha1|sha224|sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words joined by separators, capitals or numbers. No part can match in two ways, so a failure costs no retries.

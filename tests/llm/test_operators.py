@@ -476,3 +476,13 @@ def test_random_runs_of_any_length():
     assert secrets.spans_of(f"x {word}1B {run}") == [("hex", 2, 5003), ("random", 5005, 6005)]
     assert secrets.spans_of("k" * 4000 + "Word12345678901234567890_NAME/path") == []
     assert secrets.spans_of(f"token={run} {run}") == [("assign", 0, 1006), ("random", 1007, 2007)]
+
+
+@pytest.mark.parametrize("before", ["client_key=", "https://h.example.org/get?sig=", "AWS_SECRET_ACCESS_KEY=", "long_name_with_20_characters=", "x==", "k="])
+def test_random_runs_after_an_equals_sign(spark, before):
+    for run in ("Zk8Qv3Lx7Wb2Nf9Tp4Rs", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzT9qLm4Vx2"):
+        text = f"{before}{run}&next=1"
+        assert ("random", len(before), len(before) + len(run)) in secrets.spans_of(text)
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_secrets(rows).first().text == f"{before}<SECRET>&next=1"
+    assert secrets.spans_of(f"{before}my_long_identifier_name_2024") == []
