@@ -6,7 +6,7 @@ them, so running sums of both lengths are the matches' code-point offsets.
 
 Kinds of the base: email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone
 (8 to 15 digits); their matches are leftmost and don't overlap, failing ones are
-dropped without another try. The method adds iban (mod-97) and ssn; an added span
+dropped without another try. The method adds iban (its country's length, mod-97) and ssn; an added span
 needs a score of ``MIN_SCORE``, which an ssn reaches only with a context word before it.
 Base spans stay whatever their score.
 
@@ -77,6 +77,22 @@ def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
+#: Characters of an IBAN by country: the registry's, and those in use without being registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A known country's IBAN ends at its length, whatever follows; others go on as far as they can, but not into a known one."""
+    known = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+    known = f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{known}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+
+
 def _parts_fit(m: Column) -> Column:
     """No number of a dotted one is over 255, leading zeros aside."""
     return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
@@ -87,7 +103,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _parts_fit, 0.6, r"(?i)\b(?:ip|host|server|address|login)\b", sure="."),
     Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", lambda m: _between(F.length(digits_of(m)), 16, 19) & F.coalesce(F.when(_between(F.length(digits_of(m)), 16, 19), luhn(digits_of(m))), F.lit(False)), 0.8, r"(?i)\b(?:card|visa|credit|debit|payment)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: _between(F.length(digits_of(m)), 8, 15), 0.6, r"(?i)\b(?:phone|tel|call|mobile|fax)\b", sure="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda m: _between(F.length(F.replace(m, F.lit(" "))), 15, 34) & mod97(F.replace(m, F.lit(" "))), 0.9, r"(?i)\b(?:iban|account|bank)\b", base=False),
+    Kind("iban", _iban_pattern(), lambda m: _between(F.length(F.replace(m, F.lit(" "))), 15, 34) & mod97(F.replace(m, F.lit(" "))), 0.9, r"(?i)\b(?:iban|account|bank)\b", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"(?i)\b(?:ssn|social\x20security)\b", base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)

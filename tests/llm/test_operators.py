@@ -486,3 +486,30 @@ def test_random_runs_after_an_equals_sign(spark, before):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secrets.redact_secrets(rows).first().text == f"{before}<SECRET>&next=1"
     assert secrets.spans_of(f"{before}my_long_identifier_name_2024") == []
+
+
+def iban(country, own):
+    """An account number with its check digits."""
+    turned = "".join(str(int(c, 36)) for c in f"{own}{country}00")
+    return f"{country}{98 - int(turned) % 97:02d}{own}"
+
+
+def test_ibans_end_at_their_countrys_length(spark):
+    plain = ["DE89370400440532013000", "NO9386011117947", "BE68539007547034", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S", "GB82WEST12345698765432"]
+    plain += [iban("SD", "29010501234001"), iban("QQ", "12345678901234567"), iban("RU", "12345678901234567890123456789")]
+    assert plain[0] == iban("DE", "370400440532013000")
+    cases = []
+    for one in plain:
+        for form in (one, " ".join(one[i : i + 4] for i in range(0, len(one), 4))):
+            cases += [(f"IBAN {form}{after}", [form]) for after in ("", ".", "\n100", " bank", " Konto", ", BIC COBADEFFXXX", "  100 EUR")]
+            if not one.startswith("QQ"):  # no country says where this one ends
+                cases += [(f"IBAN {form} {after}", [form]) for after in ("BIC COBADEFFXXX", "100 EUR", "100", "EUR", "A B C D E F")]
+                cases += [(f"IBAN {form} {other} X", [form, other]) for other in plain[:3]] + [(f"REF12 QQ34 ABCDEFGHIJK {form} X", [form])]
+    cases += [("DE89370400440532013001 BIC", []), ("XDE89370400440532013000 BIC", []), ("DE89370400440532013000BIC", [])]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in pii.find_pii(rows).collect()}
+    for k, (text, want) in enumerate(cases):
+        spans = [s for s in got[k] if s.kind == "iban"]
+        assert [s.value for s in spans] == want and all(text[s.start : s.end] == s.value for s in spans), text
+    left = pii.redact_pii(rows.where(F.col("text").isin("IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN DE89370400440532013000 100 EUR"))).collect()
+    assert {r.text for r in left} == {"IBAN <IBAN> BIC COBADEFFXXX", "IBAN <IBAN> 100 EUR"}
