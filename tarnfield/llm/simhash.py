@@ -303,13 +303,16 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """Adds component_id, the least doc_id reachable, to rows of doc_id and fp (a materialised table)."""
+    """Adds root, a fingerprint that names the component, and component_id, the least doc_id reachable, to rows of doc_id and fp (a materialised table).
+
+    Where doc_ids repeat, components may share a component_id, but never a root.
+    """
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = scratch(least, "distinct-fingerprints")
     roots = connect(find_links(distinct)).withColumnRenamed("node", "fp")
     named = scratch(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(lowest, "root").select("fp", "component_id")
+    by_fp = named.join(lowest, "root").select("fp", "root", "component_id")
     return rows.join(by_fp, "fp")
 
 
@@ -328,10 +331,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns, mark = docs.columns, F.xxhash64(F.coalesce("text", F.lit("")))
     rows = scratch(fingerprints(docs.select("doc_id", "text").withColumn("_mark", mark), ("doc_id", "_mark")), "fingerprints")
     winners = components(rows).where("doc_id <=> component_id")
-    # a component of null ids alone has no number: its rows are told apart by their texts' fingerprint
-    own = F.when(F.col("doc_id").isNull(), F.col("fp"))
-    least = winners.groupBy("doc_id", own.alias("_own")).agg(F.min(F.struct("_mark", F.lit(0))).alias("_least"))
-    kept = least.select(F.col("doc_id").alias("_id"), F.col("_least._mark").alias("_kept")).distinct()
+    # by root: component_ids are null for null ids alone, and the same for components that share a doc_id; all winners of a root have one doc_id
+    least = winners.groupBy("root", "doc_id").agg(F.min("_mark").alias("_kept"))
+    kept = least.select(F.col("doc_id").alias("_id"), "_kept").distinct()
     times = rows.groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
     null_safe = lambda d: (F.coalesce(d, F.lit(0)), d.isNull())
     kept = kept.select(*[c.alias(n) for c, n in zip(null_safe(F.col("_id")), ("_id0", "_none"), strict=True)], "_kept")

@@ -513,3 +513,23 @@ def test_ibans_end_at_their_countrys_length(spark):
         assert [s.value for s in spans] == want and all(text[s.start : s.end] == s.value for s in spans), text
     left = pii.redact_pii(rows.where(F.col("text").isin("IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN DE89370400440532013000 100 EUR"))).collect()
     assert {r.text for r in left} == {"IBAN <IBAN> BIC COBADEFFXXX", "IBAN <IBAN> 100 EUR"}
+
+
+def near_pair(rng):
+    """Two texts whose fingerprints differ but link."""
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        a, b = " ".join(words), " ".join([*words[:150], "other", *words[151:]])
+        if 0 < (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() <= 4:
+            return a, b
+
+
+def test_keep_one_with_repeated_ids_on_unlike_texts(spark):
+    rng = random.Random(3)
+    (a, _), (b, near_b), (c, near_c), (d, near_d) = (near_pair(rng) for _ in range(4))
+    rows = [(5, a), (5, b), (9, near_b), (None, c), (None, near_c), (None, c), (5, d), (5, near_d), (None, near_d), (5, d)]
+    groups = [{a}, {b, near_b}, {c, near_c}, {d, near_d}]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.keep_one(docs).collect()
+    assert sorted(next(k for k, g in enumerate(groups) if r.text in g) for r in got) == [0, 1, 2, 3]
+    assert {(r.doc_id, r.text) for r in got} <= {(5, a), (5, b), (None, c), (None, near_c), (5, d), (5, near_d)}
