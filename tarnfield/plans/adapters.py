@@ -39,9 +39,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
-    """The first words of each benchmark item."""
+def queries(spark: SparkSession, sf_dir: str, words: int | None = 2) -> DataFrame:
+    """The first words of each benchmark item; None for the whole item."""
     b = read(spark, sf_dir, "benchmark")
+    if words is None:
+        return b.select(F.col("item_id").cast("string").alias("query_id"), "text")
     return b.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, words), " ").alias("text"))
 
 

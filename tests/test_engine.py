@@ -227,3 +227,35 @@ def test_phrases_with_repeated_and_short_words(spark):
         ("q2", "c3"): -(2 * part(1, 2, 3) + part(1, 1, 3)), ("q2", "c4"): -(part(2, 2, 4) + part(1, 2, 4)),
     }
     assert raw.keys() == want.keys() and all(abs(raw[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_whole_items_equal_brute_force(spark, tmp_path):
+    """Whole items as queries: all their words must stand in a document, and phrases are as long as the items."""
+    from tarnfield.plans import queries
+
+    texts = ["one two three four five six", "one two six five four three", "one two other words here", "six five four three two one two three four five six", "x y", "go on go on go on", "more", "and more", "the last"]
+    items = ["One two, three four five six.", "six five four three", "one two nowhere", "go on go on", "one", "a b", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, asked = [t.split() for t in texts], [t.lower().replace(",", "").replace(".", "").split() for t in items]
+    mean = 2 * sum(map(len, docs)) / len(docs)
+
+    def part(n, df, d):
+        return max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6) * 2 * n * 2.2 / (2 * n + 1.2 * (0.25 + 0.75 * 2 * len(d) / mean))
+
+    raw, phrases = {}, {}
+    for q, phrase in enumerate(asked):
+        terms = {w for w in phrase if len(w) > 1}
+        hits = {k: sum(d[i : i + len(phrase)] == phrase for i in range(len(d))) for k, d in enumerate(docs) if terms and terms <= set(d)}
+        n_phrase = sum(n > 0 for n in hits.values()) if len(phrase) > 1 else 0
+        phrases |= {str(q): n_phrase} if n_phrase else {}
+        for k, n in hits.items():
+            s = sum(part(docs[k].count(w), sum(w in d for d in docs), docs[k]) for w in terms)
+            raw[str(q), str(k)] = -(s + (part(n, n_phrase, docs[k]) if n and n_phrase else 0))
+    got = {(r.query_id, r.chunk_id): r.raw for r in queries.QUERIES["bm25_scores_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == raw.keys() and all(abs(got[k] - raw[k]) < 1e-5 for k in raw) and ("0", "2") not in raw and ("0", "1") in raw
+    assert {r.query_id: r.n_phrase for r in queries.QUERIES["lex_phrase_or_whole"](spark, str(tmp_path)).collect()} == phrases == {"0": 2, "1": 2, "3": 1}
+    top = {(r.query_id, r.rank): r.chunk_id for r in queries.QUERIES["lex_topk_and_whole"](spark, str(tmp_path)).collect()}
+    assert top == {(q, n): k for q in {q for q, _ in raw} for n, (_, k) in enumerate(sorted((round(x, 10), k) for (p, k), x in raw.items() if p == q), 1)}
+    gate = {r.query_id: r.refusal for r in queries.QUERIES["score_gate_whole"](spark, str(tmp_path)).collect()}
+    assert {q for q, r in gate.items() if r == "no_chunks"} == {str(q) for q in range(len(items))} - {q for q, _ in raw}
