@@ -1,22 +1,30 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-Base spans come from three patterns. The method adds spans of kind ``random``:
-runs of 20 characters or more of a key's alphabet that mix digits with letters and
-have fewer than ``MAX_RATIO`` characters per token under a byte-level vocabulary, for
-words and identifiers compress well and random strings don't. Known digests (hex of
-a common digest length, UUIDs, digests after an algorithm's name) and identifiers
-(words joined by separators or case changes, host names, paths, plain numbers) are
-left out, as are runs that touch a base span.
+Base spans come from three patterns. The method adds spans of kind ``random``: runs of
+20 characters or more of a key's alphabet whose characters per token under a byte-level
+vocabulary are as few as in random strings, for words and identifiers compress well and
+random strings don't. How few that is depends on a run's letters, digits and length, so
+the limit is calibrated: for each of seven alphabets and each length it is the value that
+``COVERAGE`` of planted random strings (a fixed seed, no documents) stay within.
+
+Left out are known digests (hex of a common digest length, UUIDs, digests after an
+algorithm's name), identifiers (words of four letters or more joined by separators, case
+changes or numbers), plain numbers, and runs that touch a base span.
 
 Offsets are code points, ends exclusive. Defined cases: a null or empty text has
-no spans; whole texts are scanned, whatever their length.
+no spans; an empty table gives none; whole texts are scanned, whatever their length;
+equal rows and rows with a null or repeated doc_id stay rows of their own; of spans that
+start together the kinds' order decides; other columns of the documents are left aside by
+find_secrets and pass through redact_secrets as they were, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -27,13 +35,17 @@ from pyspark.sql import DataFrame
 from tarnfield.llm.common import slices, strings
 
 KINDS = ("assign", "access", "hex", "random")
-MAX_RATIO = 2.2
+#: Share of planted random strings that the limit lets through, how many are planted, and the length from which the limit stays the same.
+COVERAGE, PLANTED, LONGEST_PLANTED = 0.94, 1000, 64
 #: '=' is padding at a run's end only: a run may start right after it, as in name=value.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!=)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9A-Fa-f]+|(?:md5|sha1|sha224|sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words joined by separators, capitals or numbers. No part can match in two ways, so a failure costs no retries.
-IDENTIFIER = re.compile(r"(?:[A-Z]{3,}+|[A-Z]?+[a-z]{2,}+|[0-9/_+=-]++)++")
+IDENTIFIER = re.compile(r"(?:[A-Z]{4,}+|[A-Z]?+[a-z]{4,}+|[0-9/_+=-]++)++")
+#: One word alone is no identifier: its letters are tested as any others.
+ONE_WORD = re.compile(r"[A-Z]?[a-z]*|[A-Z]*")
+HEXADECIMAL = {"0123456789abcdef": re.compile(r"[0-9a-f]+"), "0123456789ABCDEF": re.compile(r"[0-9A-F]+")}
 
 
 def either_case(word: str) -> str:
@@ -70,38 +82,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def random_spans(text: str, base: list[tuple[str, int, int]], ranks_path: str | None = None, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
+def alphabet_of(run: str) -> str:
+    """The characters that a random string like ``run`` is drawn from; separators aside; empty for a plain number."""
+    lower, upper, digit = (any(c in chars for c in run) for chars in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
+    if not lower and not upper:
+        return ""
+    if digit:
+        for chars, pattern in HEXADECIMAL.items():
+            if pattern.fullmatch(run):
+                return chars
+    return string.ascii_lowercase * lower + string.ascii_uppercase * upper + string.digits * digit
+
+
+@cache
+def most_per_token(alphabet: str, length: int, ranks_path: str | None, coverage: float) -> float:
+    """Characters per token that ``coverage`` of random strings of this alphabet and length don't exceed."""
+    rng, encode = random.Random(f"{alphabet} {length}"), encoding(ranks_path).encode_ordinary
+    ratios = sorted(length / len(encode("".join(rng.choices(alphabet, k=length)))) for _ in range(PLANTED))
+    return ratios[min(PLANTED - 1, int(coverage * PLANTED))]
+
+
+def random_spans(text: str, base: list[tuple[str, int, int]], ranks_path: str | None = None, coverage: float = COVERAGE) -> list[tuple[str, int, int]]:
     out, starts, reach = [], sorted(a for _, a, _ in base), 0
     ends = []  # the furthest end of the base spans up to each start
     for _, _, b in sorted(base, key=lambda s: s[1]):
         ends.append(reach := max(reach, b))
     for m in RUN.finditer(text):
         run, before = m[0], bisect_left(starts, m.end())
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or before and ends[before - 1] > m.start():
+        if before and ends[before - 1] > m.start() or not (alphabet := alphabet_of(run)):
             continue
-        if DIGEST.fullmatch(run) and (not re.fullmatch("[0-9A-Fa-f]+", run) or len(run) in DIGEST_LENGTHS) or IDENTIFIER.fullmatch(run):
+        if DIGEST.fullmatch(run) and (not re.fullmatch("[0-9A-Fa-f]+", run) or len(run) in DIGEST_LENGTHS) or IDENTIFIER.fullmatch(run) and not ONE_WORD.fullmatch(run):
             continue
-        if len(run) < max_ratio * len(encoding(ranks_path).encode_ordinary(run)):
+        if len(run) <= most_per_token(alphabet, min(len(run), LONGEST_PLANTED), ranks_path, coverage) * len(encoding(ranks_path).encode_ordinary(run)):
             out.append(("random", m.start(), m.end()))
     return out
 
 
-def spans_of(text: str, ranks_path: str | None = None, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
+def spans_of(text: str, ranks_path: str | None = None, coverage: float = COVERAGE) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as listed."""
     base = base_spans(text)
-    return sorted(base + random_spans(text, base, ranks_path, max_ratio), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(base + random_spans(text, base, ranks_path, coverage), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_secrets(docs: DataFrame, ranks_path: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, ranks_path: str | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [spans_of(t, ranks_path, max_ratio) for t in strings(batch.column("text"))]
+            found = [spans_of(t, ranks_path, coverage) for t in strings(batch.column("text"))]
             base = [[s for s in spans if s[0] != "random"] for spans in found]
             counts = {f"n_{k}": pa.array([sum(s[0] == k for s in spans) for spans in found], pa.int64()) for k in KINDS}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | counts | {"base_sha256": pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), "spans": pa.array([joined(s) for s in found], pa.string())})
@@ -109,13 +141,13 @@ def find_secrets(docs: DataFrame, ranks_path: str | None = None, max_ratio: floa
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, ranks_path: str | None = None, max_ratio: float = MAX_RATIO, mark: str = "<SECRET>") -> DataFrame:
+def redact_secrets(docs: DataFrame, ranks_path: str | None = None, coverage: float = COVERAGE, mark: str = "<SECRET>") -> DataFrame:
     """The documents with every span replaced; spans that overlap are replaced as one."""
     columns = docs.schema
 
     def masked(text: str) -> str:
         out, at = [], 0
-        for _, a, b in spans_of(text, ranks_path, max_ratio):
+        for _, a, b in spans_of(text, ranks_path, coverage):
             if a >= at:
                 out += [text[at:a], mark]
             at = max(at, b)
