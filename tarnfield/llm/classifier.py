@@ -1,19 +1,25 @@
 """Quality classifier: random-indexing word vectors, a two-layer network, calibrated probabilities.
 
 Tokens are runs of ASCII letters (lower-cased), digits and non-ASCII characters, and
-runs of other visible characters. Each token of the vocabulary has a sparse ternary
-index vector; its word vector is the sum of its neighbours' index vectors over the
-training sample, centred and scaled to unit length. A document is the weighted mean of
-its tokens' vectors, the same over its distinct tokens, and the shares of unknown
-and distinct tokens. A two-layer network in numpy scores it; a temperature fitted on a
-part of the sample that the network did not see turns scores into probabilities.
-
-Training reads at most ``SAMPLE_ROWS`` labelled rows of least hash, none of them from
-the held-out fold (crc32 of the id as text, modulo 5, is 0). Inputs are texts alone.
-Scoring covers whole texts of all documents.
-
-Defined cases: a null or empty text has the score of an empty vector; a document with
-several labels counts with the least; without labelled rows every score is 0.5.
+runs of other visible characters. The ``VOCABULARY`` tokens that most sample texts hold
+have rows of their own, every other token, of whatever length, shares one of ``TAIL`` rows
+by its hash, so no token is left out. Each row has a sparse ternary index vector; its word
+vector is the sum of its neighbours' index vectors over the training sample, centred and
+scaled to unit length. A document is the weighted mean of its tokens' vectors, the same
+over its distinct rows, the shares of tail and of distinct tokens, and its length. A
+two-layer network in numpy scores it; a temperature fitted on a part of the sample that the
+network did not see turns scores into probabilities.
+
+Training reads at most ``SAMPLE_ROWS`` labelled ids of least hash, each with one text,
+none of them from the held-out fold (crc32 of the id as text, modulo 5, is 0). Inputs are
+texts alone. Scoring covers whole texts of all documents.
+
+Defined cases: a null or empty text has the score of an empty vector; an id with
+several labels counts with the least, and with the text of least hash where it repeats in
+the documents; without labelled rows every score is 0.5; equal texts have equal scores,
+and equal rows and rows with a null or repeated doc_id stay rows (a null one is not held
+out); an empty table gives no rows; very long texts are pooled whole; other columns of the
+documents are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import LOWER_BYTES, crc_mod5, sample_by_hash, scratch, slices, utf8
+from tarnfield.llm.common import LOWER_BYTES, crc_mod5, drop_scratch, one_text_each, sample_by_hash, scratch, slices, utf8
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20\x7f0-9a-z\x80-\xff]+")
-#: Bounds of what is learnt: labelled rows, words with a vector, dimensions.
-SAMPLE_ROWS, VOCABULARY, DIMENSIONS = 8000, 20000, 48
+#: Sizes of what is learnt: labelled rows, tokens with a row of their own, shared rows, dimensions.
+SAMPLE_ROWS, VOCABULARY, TAIL, DIMENSIONS = 8000, 20000, 4096, 48
 NONZERO, REACH, HIDDEN, SEED = 6, 2, 24, 7
-#: Longer tokens are unknown words.
-LONG_TOKEN = 40
+#: Longer tokens share rows, so that no long one comes to the driver.
+OWN_ROW_BYTES = 40
 THRESHOLD = 0.3
 #: The sample is counted in so many tasks at most, each of which returns one matrix.
 TASKS = 8
@@ -55,9 +61,15 @@ def index_vectors(words: list[bytes], dimensions: int = DIMENSIONS) -> np.ndarra
     return out
 
 
+def rows_of(tokens: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Row of each token: its own, or a shared one after those."""
+    own, get = len(number), number.get
+    return np.fromiter((k if (k := get(t)) is not None else own + xxhash.xxh64_intdigest(t, SEED) % TAIL for t in tokens), dtype=np.int64, count=len(tokens))
+
+
 @dataclass
 class Model:
-    """Word numbers, vectors and weights; the network's layers, input scaling and temperature."""
+    """Word numbers, vectors and weights of all rows; the network's layers, input scaling and temperature."""
 
     number: dict[bytes, int]
     vectors: np.ndarray
@@ -70,19 +82,17 @@ class Model:
     def pooled(self, text: bytes) -> np.ndarray:
         """The document's vector."""
         tokens = tokens_of(text)
-        get, d = self.number.get, self.vectors.shape[1]
-        ids = np.fromiter((get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
-        known = ids[ids >= 0]
+        d, own = self.vectors.shape[1], len(self.number)
+        ids = rows_of(tokens, self.number)
         out = np.zeros(2 * d + 3, dtype=np.float32)
-        if len(known):
-            counts = np.bincount(known, minlength=len(self.weight))
+        if len(ids):
+            counts = np.bincount(ids, minlength=len(self.weight))
             types = np.flatnonzero(counts)
             w = self.weight[types]
             by_count = w * counts[types]
             out[:d] = by_count @ self.vectors[types] / by_count.sum()
             out[d : 2 * d] = w @ self.vectors[types] / w.sum()
-        if tokens:
-            out[-3:] = 1 - len(known) / len(tokens), len(set(tokens)) / len(tokens), np.log1p(len(tokens)) / 10
+            out[-3:] = (ids >= own).mean(), len(set(tokens)) / len(tokens), np.log1p(len(tokens)) / 10
         return out
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
@@ -127,55 +137,55 @@ def fit_network(model: Model, rows: np.ndarray, labels: np.ndarray, epochs: int
         model.temperature = float(tried[int(np.argmin(loss))])
 
 
-def cooccurrence(texts: list[bytes], number: dict[bytes, int], index: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each word."""
-    out = np.zeros_like(index)
+def cooccurrence(texts: list[bytes], number: dict[bytes, int], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the neighbours' index vectors for each row, and the number of texts that hold it."""
+    out, held = np.zeros_like(index), np.zeros(len(index), dtype=np.int64)
     for text in texts:
-        tokens = tokens_of(text)
-        ids = np.fromiter((number.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+        ids = rows_of(tokens_of(text), number)
+        held[np.unique(ids)] += 1
         for k in range(1, REACH + 1):
             a, b = ids[:-k], ids[k:]
-            both = (a >= 0) & (b >= 0)
-            np.add.at(out, a[both], index[b[both]])
-            np.add.at(out, b[both], index[a[both]])
-    return out
+            np.add.at(out, a, index[b])
+            np.add.at(out, b, index[a])
+    return out, held
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """Learns from labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and quality is not null").where(crc_mod5() != 0).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = sample_by_hash(one, "doc_id", sample_rows)
-    rows = scratch(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(TASKS, "doc_id"), "labelled")
+    rows = scratch(one_text_each(docs, sample_by_hash(one, "doc_id", sample_rows)).repartition(TASKS, "doc_id").sortWithinPartitions("doc_id"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in slices(batches):
             for text in utf8(batch.column("text")):
-                seen.update({t: 1 for t in tokens_of(text) if len(t) <= LONG_TOKEN})
+                seen.update({t: 1 for t in tokens_of(text) if len(t) <= OWN_ROW_BYTES})
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counted = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    words, n_docs = [bytes(r["word"]) for r in top], max((r["n"] for r in top), default=1)
-    model = Model({w: k for k, w in enumerate(words)}, np.zeros((max(len(words), 1), DIMENSIONS), np.float32), np.ones(max(len(words), 1), np.float32))
-    if not words:
+    words = [bytes(r["word"]) for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    model = Model({w: k for k, w in enumerate(words)}, np.zeros((0, DIMENSIONS), np.float32), np.ones(0, np.float32))
+    index = index_vectors([*words, *(b" tail %d" % k for k in range(TAIL))])
+    model.vectors, model.weight = np.zeros_like(index), np.ones(len(index), np.float32)
+    if rows.isEmpty():
         return model
-    index = index_vectors(words)
     shared = spark.sparkContext.broadcast((model.number, index))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(shared.value[1])
+        total, held = np.zeros_like(shared.value[1]), np.zeros(len(shared.value[1]), dtype=np.int64)
         for batch in slices(batches):
-            total += cooccurrence(utf8(batch.column("text")), *shared.value)
-        yield pa.RecordBatch.from_pydict({"m": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+            more, texts = cooccurrence(utf8(batch.column("text")), *shared.value)
+            total, held = total + more, held + texts
+        yield pa.RecordBatch.from_pydict({"m": pa.array([total.astype("<f4").tobytes()], pa.binary()), "n": pa.array([held.astype("<i8").tobytes()], pa.binary())})
 
-    vectors = index.copy()
-    for r in rows.select("text").mapInArrow(add, "m binary").toLocalIterator():
+    vectors, held = index.copy(), np.zeros(len(index), dtype=np.int64)
+    for r in rows.select("text").mapInArrow(add, "m binary, n binary").toLocalIterator():
         vectors += np.frombuffer(r["m"], dtype="<f4").reshape(index.shape)
+        held += np.frombuffer(r["n"], dtype="<i8")
     vectors -= vectors.mean(axis=0)
     model.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)).astype(np.float32)
-    model.weight = np.array([1 + np.log(n_docs / r["n"]) for r in top], dtype=np.float32)
+    model.weight = (1 + np.log(max(held.max(), 1) / np.maximum(held, 1))).astype(np.float32)
     pooled = spark.sparkContext.broadcast(model)
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voca
             got = [pooled.value.pooled(t).astype("<f4").tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "v": pa.array(got, pa.binary())})
 
-    got = rows.mapInArrow(vector, "doc_id long, quality int, v binary").orderBy("doc_id", "v").limit(sample_rows).collect()
+    # one row for each chosen id: no more than sample_rows come to the driver
+    got = sorted(rows.select("doc_id", "quality", "text").mapInArrow(vector, "doc_id long, quality int, v binary").collect(), key=lambda r: r["doc_id"])
     x, y = np.stack([np.frombuffer(r["v"], dtype="<f4") for r in got]), np.array([r["quality"] for r in got])
     fit_network(model, x.astype(float), y)
+    drop_scratch(rows)
     return model
 
 

@@ -2,12 +2,17 @@
 
 Scratch tables stand in for lineage cuts: they are Parquet folders in the shared
 folder of ``spark.checkpoint.dir``, so a lost executor costs a re-read and no
-recomputation, and every executor and the driver see the same rows.
+recomputation, and every executor and the driver see the same rows. They lie below a
+folder of their application. What an operator reads no more it drops itself; the rest
+goes when the driver ends, or by ``clear_scratch``; what a killed driver left goes by
+``sweep_scratch``.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,27 +32,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is set and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tarnfield-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Paths of the scratch tables made so far, in turn.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tarnfield/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    """A fresh path in this application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/tarnfield/{spark.sparkContext.applicationId}"
+    at, store = _store(spark, own)
+    if not store.exists(at):
+        store.mkdirs(at)
+        store.deleteOnExit(at)  # of what doesn't exist this would take no note
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Remove the scratch tables behind frames that ``scratch`` returned and nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._scratch)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application: results that read them must have been written."""
+    drop_path(spark, f"{shared_dir(spark)}/tarnfield/{spark.sparkContext.applicationId}")
+
+
+def sweep_scratch(spark: SparkSession, hours: float = 72) -> list[str]:
+    """Remove what other applications left and haven't touched for so many hours; returns their ids."""
+    at, store = _store(spark, f"{shared_dir(spark)}/tarnfield")
+    old = []
+    for entry in store.listStatus(at) if store.exists(at) else ():
+        own = [entry.getModificationTime(), *(x.getModificationTime() for x in store.listStatus(entry.getPath()))]
+        name = entry.getPath().getName()
+        if name != spark.sparkContext.applicationId and max(own) < (time.time() - hours * 3600) * 1000:
+            store.delete(entry.getPath(), True)
+            old.append(name)
+    return old
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +99,40 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Writes what ``make`` returns and drops the scratch tables that it has made on the way."""
+    before = len(_made)
+    kept = scratch(make(), name)
+    for path in _made[before:]:
+        if path != kept._scratch:
+            drop_path(spark, path)
+    _made[before:] = [kept._scratch]
+    return kept
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of known width are broadcast up to so many bytes; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def join_few(df: DataFrame, few: DataFrame, rows: int, row_bytes: int, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins ``few``, counted rows of at most ``row_bytes``: broadcast within the bound, else by a sort-merge join."""
+    return df.join(F.broadcast(few) if rows * row_bytes <= BROADCAST_BYTES else few.hint("merge"), on, how)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -88,24 +165,31 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, out)
 
 
-def with_ordinal(df: DataFrame, by: list[str], name: str, weight: str | None = None) -> tuple[DataFrame, int]:
+def part_starts(sizes: DataFrame, part: str, n: str, start: str) -> tuple[DataFrame, int, int]:
+    """(part, start), the sums of ``n`` before each part; the number of parts and the sum of all.
+
+    ``sizes`` has one row of two longs for each task or file: 16 bytes a task come to the driver.
+    """
+    got = sizes.select(F.col(part).cast("long").alias(part), F.col(n).cast("long").alias(n)).toArrow().sort_by(part)
+    own = got.column(n).to_numpy()
+    ends = np.cumsum(own)
+    table = pa.table({part: got.column(part).combine_chunks(), start: pa.array(ends - own, pa.int64())})
+    return sizes.sparkSession.createDataFrame(table, f"`{part}` long, `{start}` long"), len(own), int(ends[-1]) if len(ends) else 0
+
+
+def with_ordinal(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
     """Add ``row_no`` (0-based, gapless, in the order of ``by``); returns the rows and their number.
 
-    A range sort deals the rows out; each task numbers its own rows, and one
-    count per task (bounded by the number of tasks) is summed up on the driver.
-    Rows with equal keys are spread by a salt, so one key may hold any share.
+    A range sort deals the rows out; each task numbers its own rows, and one count per
+    task is summed up on the driver. Rows with equal keys are spread by a salt, so one
+    key may hold any share.
     """
     salted = df.withColumn("_salt", F.monotonically_increasing_id())
     ordered = salted.repartitionByRange(*by, "_salt").sortWithinPartitions(*by, "_salt").drop("_salt")
     kept = scratch(ordered.withColumn("_mid", F.monotonically_increasing_id()), name)
     part = F.shiftright("_mid", 33)
-    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    base, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        base.append((r["_part"], total))
-        total += r["_n"]
-    starts = df.sparkSession.createDataFrame(base or [(0, 0)], "_part long, _base long")
-    numbered = kept.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    starts, parts, total = part_starts(kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")), "_part", "_n", "_base")
+    numbered = join_few(kept.withColumn("_part", part), starts, parts, 16, ["_part"])
     row_no = F.col("_base") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn("row_no", row_no).drop("_part", "_base", "_mid"), total
 
@@ -115,10 +199,16 @@ def crc_mod5(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label and text of the ids in ``chosen`` (doc_id, label; a bounded sample): of several rows with one id, the text of least hash.
+
+    Each task reduces its rows of an id to one before they move, so an id may hold any share of the rows.
+    """
+    label = next(c for c in chosen.columns if c != "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows with the least hash of ``key``: a bounded, reproducible sample."""
     return df.orderBy(F.xxhash64(F.col(key)), key).limit(rows)
-
-
-def uint64(values: list[int]) -> np.ndarray:
-    return np.fromiter(values, dtype=np.uint64, count=len(values))

@@ -7,7 +7,10 @@ sequence of its own, so no sequence crosses documents and none is padded.
 Sequences are numbered bucket by bucket, the longest first, without gaps.
 
 Defined cases: a null or empty text has the end id only, one piece of length 1;
-rows with equal or null doc_id are documents of their own.
+equal rows and rows with equal or null doc_id are documents of their own; very long texts
+are encoded whole and give as many full pieces as they hold; an empty table gives no rows;
+other columns of the documents are left aside, whatever their names. Which of two pieces of
+equal length comes first follows the order in which the documents are read.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import scratch, slices, strings
+from tarnfield.llm.common import join_few, scratch, slices, strings
 from tarnfield.llm.tokens import END_ID, encoder
 
 LONGEST = 2048
@@ -36,8 +39,8 @@ def pieces_of(n: int, longest: int = LONGEST) -> list[int]:
 def pack(docs: DataFrame, longest: int = LONGEST, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to, and input_ids if asked.
 
-    The pieces are written once to the shared folder; what the driver gathers is
-    one count for each task and bucket.
+    The pieces are written once to the shared folder. Their numbers are sums over the
+    counts of each task and bucket, made in Spark; the driver sees one total a bucket.
     """
     if longest & (longest - 1):
         raise ValueError("the longest length must be a power of two")
@@ -69,13 +72,15 @@ def pack(docs: DataFrame, longest: int = LONGEST, vocabulary: str | None = None,
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _rank long, _part long" + ", input_ids array<int>" * with_ids
     kept = scratch(docs.select("doc_id", "text").mapInArrow(run, schema), "packed")
-    counts = kept.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).collect()
-    base, total = [], 0
-    for r in sorted(counts, key=lambda r: (-r["length"], r["_part"])):
-        base.append((r["length"], r["_part"], total))
+    counts = kept.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = scratch(counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "packed-starts")
+    base, total = F, 0
+    for r in sorted(starts.groupBy("length").agg(F.sum("_n").alias("n")).collect(), key=lambda r: -r["length"]):
+        base = base.when(F.col("length") == r["length"], F.col("_base") + total)
         total += r["n"]
-    first = docs.sparkSession.createDataFrame(base or [(0, 0, 0)], "length long, _part long, _base long")
-    numbered = kept.join(F.broadcast(first), ["length", "_part"])
+    first = starts.select("length", "_part", base.otherwise(F.col("_base")).alias("_base") if total else "_base")
+    numbered = join_few(kept, first, starts.count(), 24, ["length", "_part"])
     return numbered.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_base") + F.col("_rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("padded_to"), *["input_ids"] * with_ids
     )

@@ -9,7 +9,8 @@ the limit is calibrated: for each of seven alphabets and each length it is the v
 
 Left out are known digests (hex of a common digest length, UUIDs, digests after an
 algorithm's name), identifiers (words of four letters or more joined by separators, case
-changes or numbers), plain numbers, and runs that touch a base span.
+changes or numbers, which compress as no random letters do, whatever the numbers among
+them), plain numbers, and runs that touch a base span.
 
 Offsets are code points, ends exclusive. Defined cases: a null or empty text has
 no spans; an empty table gives none; whole texts are scanned, whatever their length;
@@ -43,8 +44,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9A-Fa-f]+|(?:md5|sha1|sha224|sha256|sha384|sha512)-[A-Za-z0-9+/]+={0,2}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words joined by separators, capitals or numbers. No part can match in two ways, so a failure costs no retries.
 IDENTIFIER = re.compile(r"(?:[A-Z]{4,}+|[A-Z]?+[a-z]{4,}+|[0-9/_+=-]++)++")
-#: One word alone is no identifier: its letters are tested as any others.
-ONE_WORD = re.compile(r"[A-Z]?[a-z]*|[A-Z]*")
+WORD = re.compile(r"[A-Z]{4,}|[A-Z]?[a-z]{4,}")
 HEXADECIMAL = {"0123456789abcdef": re.compile(r"[0-9a-f]+"), "0123456789ABCDEF": re.compile(r"[0-9A-F]+")}
 
 
@@ -102,6 +102,12 @@ def most_per_token(alphabet: str, length: int, ranks_path: str | None, coverage:
     return ratios[min(PLANTED - 1, int(coverage * PLANTED))]
 
 
+def _compresses_badly(alphabet: str, parts: tuple[str, ...] | list[str], ranks_path: str | None, coverage: float) -> bool:
+    """Whether the parts have no more characters per token than random strings of their alphabet and length."""
+    encode, length = encoding(ranks_path).encode_ordinary, sum(map(len, parts))
+    return length <= most_per_token(alphabet, min(length, LONGEST_PLANTED), ranks_path, coverage) * sum(len(encode(p)) for p in parts)
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], ranks_path: str | None = None, coverage: float = COVERAGE) -> list[tuple[str, int, int]]:
     out, starts, reach = [], sorted(a for _, a, _ in base), 0
     ends = []  # the furthest end of the base spans up to each start
@@ -111,9 +117,12 @@ def random_spans(text: str, base: list[tuple[str, int, int]], ranks_path: str |
         run, before = m[0], bisect_left(starts, m.end())
         if before and ends[before - 1] > m.start() or not (alphabet := alphabet_of(run)):
             continue
-        if DIGEST.fullmatch(run) and (not re.fullmatch("[0-9A-Fa-f]+", run) or len(run) in DIGEST_LENGTHS) or IDENTIFIER.fullmatch(run) and not ONE_WORD.fullmatch(run):
+        if DIGEST.fullmatch(run) and (not re.fullmatch("[0-9A-Fa-f]+", run) or len(run) in DIGEST_LENGTHS):
+            continue
+        words = WORD.findall(run) if IDENTIFIER.fullmatch(run) else ()
+        if words and not _compresses_badly(alphabet_of("".join(words)), words, ranks_path, coverage):
             continue
-        if len(run) <= most_per_token(alphabet, min(len(run), LONGEST_PLANTED), ranks_path, coverage) * len(encoding(ranks_path).encode_ordinary(run)):
+        if _compresses_badly(alphabet, (run,), ranks_path, coverage):
             out.append(("random", m.start(), m.end()))
     return out
 

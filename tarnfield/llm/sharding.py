@@ -7,7 +7,9 @@ shard p mod n and slot p div n, both computable from the row number alone, and
 shard sizes differ by one row at most. The law is ``rows``; grown_shard is null.
 
 Defined cases: a null text has size 1 and checksum 0; null doc_ids come first;
-equal rows have places of their own.
+equal rows have places of their own, and rows equal in id, size and checksum are numbered
+in the order in which they are read; very long texts count whole; an empty table gives no
+rows; other columns of the documents are left aside, whatever their names.
 """
 
 from __future__ import annotations

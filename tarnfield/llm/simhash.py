@@ -5,25 +5,34 @@ hashes have it set. Two fingerprints link at ``DISTANCE`` (4) or fewer differing
 
 Candidates. A fingerprint is cut into three segments of 22, 21 and 21 bits, each
 padded to a word of the perfect (23,12,7) Golay code. Every word lies within three
-bits of exactly one codeword, and a segment's keys are the codeword numbers of the
-word itself and of all words one bit away: one to six of the 4096 numbers. Two
-segments within two bits have a key in common, since the word between them is one
-bit from both. With four errors over three segments, the two segments with the fewest
-errors have at most two each, so linked fingerprints share a key in two segments
-at once. Each of the three segment pairs gives the product of its keys: 24-bit bucket
-numbers, 85 per fingerprint on average and 108 at most. All candidates are verified.
+bits of exactly one codeword, and a segment's fuzzy keys are the codeword numbers of the
+word itself and of all words one bit away: one to six of the 4096 numbers. Two segments
+within two bits have a fuzzy key in common, since the word between them is one bit from
+both. Four errors fall on three segments in one of two ways. Either the least hit segment
+has none and the next at most two: the whole first segment with a fuzzy key of another
+makes a key of 33 or 34 bits, in six ways. Or two segments have one error each and the
+third at most two: half of each of the two is whole, so two halves with a fuzzy key of the
+third make a key of 32 to 34 bits, in twelve ways. That is 18 tables of some 2^33 buckets,
+and 95 keys for a fingerprint on average; linked fingerprints share a bucket, for certain,
+and all candidates are verified.
 
 Volume. Equal fingerprints are one before the keys are made, so exact copies cost
 nothing and the rows dealt out are proportional to distinct fingerprints. A bucket
 is never turned into pairs: its members are searched breadth-first, each comparing
 with those not yet reached only, and a task returns no more than a link per member
-to the least of its group. Buckets of more than ``BLOCK`` members leave their task as
-blocks, which meet in pairs in other tasks. Components are found by alternating stars,
-each step written to the shared folder; nothing of them comes to the driver but counts.
+to the least of its group. A bucket of more than ``BLOCK`` members (near copies without
+end, or texts from one mould) leaves its task as blocks. Their members are dealt anew by
+the bucket and one of five interleaved parts of the fingerprint, of which four errors leave
+one whole; only what is hot even then meets as pairs of blocks, each pair a row of its own.
+Components are found by alternating stars, each step written to the shared folder; nothing
+of them comes to the driver but counts. The least neighbours are written, too, before they
+meet the edges, so that both sides of the join are plain exchanges and a hub's is split.
 
 Defined cases: a text without words (null, empty) has fingerprint zero and links like
 any other; null doc_ids are rows like others and lose against numbers, so a component
-of null ids alone has a null component_id; equal rows stay rows.
+of null ids alone has a null component_id; equal rows stay rows; an empty table gives no
+rows; very long texts are hashed whole; other columns of the documents are left aside by
+near_duplicates and pass through keep_one as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import LOWER_BYTES, arrow_map, drop_path, scratch, scratch_path, utf8
+from tarnfield.llm.common import LOWER_BYTES, arrow_map, drop_scratch, fresh, scratch, utf8
 
 SHINGLE, HASH_SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -45,6 +54,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b101011100011
 #: Members of a bucket that are compared in one task.
 BLOCK = 4096
+#: Interleaved parts of a hot bucket's members: one more than the errors.
+PARTS = DISTANCE + 1
 
 
 def fingerprint(text: bytes) -> int:
@@ -101,17 +112,34 @@ def segment_keys(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bucket_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, position of the fingerprint) for all keys of all fingerprints."""
-    segments = [segment_keys(((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64), bits) for at, bits in SEGMENTS]
+    """(bucket, position of the fingerprint) for all keys of all fingerprints; the table's number stands above 34 bits of key."""
+    words = [((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
+    fuzzy = [segment_keys(w, bits) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
+    halves = [(w >> (bits // 2), w & ((1 << bits // 2) - 1)) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
+    whole: list[tuple[np.ndarray, int]] = []  # what must be equal, and the segment whose fuzzy key goes with it
+    for a, b in itertools.permutations(range(3), 2):
+        whole.append((words[a], b))
+    for c in range(3):
+        a, b = (k for k in range(3) if k != c)
+        whole += [((x << 11) | y, c) for x, y in itertools.product(halves[a], halves[b])]
     buckets, owners = [], []
-    for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = (segments[a][:, :, None] >= 0) & (segments[b][:, None, :] >= 0)
-        joint = (k << 24) | (segments[a][:, :, None] << 12) | segments[b][:, None, :]
-        buckets.append(joint[both])
-        owners.append(np.broadcast_to(np.arange(len(fps))[:, None, None], joint.shape)[both])
+    for table, (own, c) in enumerate(whole):
+        some = fuzzy[c] >= 0
+        buckets.append(((table << 34) | (own[:, None] << 12) | fuzzy[c])[some])
+        owners.append(np.broadcast_to(np.arange(len(fps))[:, None], some.shape)[some])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def part_rows(bucket: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a hot bucket under the hash of the bucket and each of their interleaved parts."""
+    buckets = []
+    for p in range(PARTS):
+        mask = np.uint64(sum(1 << k for k in range(p, 64, PARTS)))
+        mixed = (members & mask) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((bucket * 8 + p) * 0xD1B54A32D192ED03 % 2**64)
+        buckets.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
+    return np.concatenate(buckets), np.tile(members, PARTS)
+
+
 class Groups:
     """Union-find over the fingerprints a task has linked."""
 
@@ -237,59 +265,75 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _links(groups, False)
 
 
+LINK = "u long, v long, bucket long, no int, block binary"
+
+
 def find_links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) whose components are those of all links, from distinct fingerprints ``fp``."""
+    """Links (u, v) whose components are those of all links, from distinct fingerprints ``fp``; a scratch table."""
 
     def keys(batch: pa.RecordBatch) -> dict:
         own = batch.column("fp").to_numpy()
         bucket, owner = bucket_rows(own.view(np.uint64))
         return {"bucket": pa.array(bucket), "fp": pa.array(own[owner])}
 
-    rows = arrow_map(fps.select("fp"), keys, "bucket long, fp long", carry=())
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    found = scratch(dealt.mapInArrow(_search_buckets, "u long, v long, bucket long, no int, block binary"), "links")
-    blocks = found.where("block is not null").select("bucket", "no", "block")
-    # blocks are few and large: one pair of blocks is one row
-    pairs = blocks.join(blocks.select("bucket", F.col("no").alias("other_no"), F.col("block").alias("other")), "bucket").where("no <= other_no")
-    more = pairs.select("block", "other").repartition(F.xxhash64("block", "other")).mapInArrow(_search_blocks, "u long, v long")
-    return found.where("u is not null").select("u", "v").unionByName(more)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                dealt, members = part_rows(bucket, np.frombuffer(block, dtype=np.uint64))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(dealt), "fp": pa.array(members.view(np.int64))})
+
+    def searched(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        found = scratch(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search_buckets, LINK), "links")
+        blocks = found.where("block is not null").select("bucket", "no", "block")
+        return found, None if blocks.isEmpty() else blocks
+
+    found, blocks = searched(arrow_map(fps.select("fp"), keys, "bucket long, fp long", carry=()))
+    links, held = found.where("u is not null").select("u", "v"), [found]
+    if blocks is not None:
+        found, blocks = searched(blocks.mapInArrow(parts, "bucket long, fp long"))
+        links = links.unionByName(found.where("u is not null").select("u", "v"))
+        held.append(found)
+    if blocks is not None:
+        # a block meets those of its bucket with its own number and above: one row for each pair, dealt out by the pair
+        last = blocks.groupBy("bucket").agg(F.max("no").alias("last"))
+        met = blocks.join(last, "bucket").select("bucket", "block", F.explode(F.sequence("no", "last")).alias("no"))
+        pairs = met.join(blocks.withColumnRenamed("block", "other"), ["bucket", "no"]).select("block", "other")
+        links = links.unionByName(pairs.repartition(F.xxhash64("block", "other")).mapInArrow(_search_blocks, "u long, v long"))
+    out = scratch(links, "all-links")
+    drop_scratch(*held)
+    return out
 
 
 def connect(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: alternating large and small stars until nothing changes."""
-    spark, at = links.sparkSession, None
-
-    def kept(df: DataFrame) -> DataFrame:
-        nonlocal at
-        last, at = at, scratch_path(spark, "stars")
-        df.write.parquet(at)
-        if last:
-            drop_path(spark, last)
-        return spark.read.schema("u long, v long").parquet(at)
-
-    def large(edges: DataFrame) -> DataFrame:
+    """(node, root) of every linked node, a scratch table: alternating large and small stars until nothing changes."""
+
+    def large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
-    def small(edges: DataFrame) -> DataFrame:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    def small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = scratch(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    edges = kept(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = state(edges)
-    while before[0]:
-        edges = kept(small(large(edges)))
+    edges = scratch(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
+    before, after = None, state(edges)
+    while after[0] and after != before:
+        before, gone = after, [edges]
+        for star in (large, small):
+            fresh_edges, least = star(edges)
+            edges = scratch(fresh_edges, "stars")
+            gone += [least, edges]
+        drop_scratch(*gone[:-1])
         after = state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = scratch(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "linked")
+    drop_scratch(edges)
+    return out
 
 
 def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -307,12 +351,14 @@ def components(rows: DataFrame) -> DataFrame:
 
     Where doc_ids repeat, components may share a component_id, but never a root.
     """
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = scratch(least, "distinct-fingerprints")
-    roots = connect(find_links(distinct)).withColumnRenamed("node", "fp")
-    named = scratch(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(lowest, "root").select("fp", "root", "component_id")
+    distinct = scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    links = find_links(distinct)
+    linked = connect(links)
+    named = scratch(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # written before the join, as in connect: a component may hold any share of the fingerprints, a fingerprint any of the rows
+    lowest = scratch(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    by_fp = scratch(named.join(lowest, "root").select("fp", "root", "component_id"), "components")
+    drop_scratch(distinct, links, linked, named, lowest)
     return rows.join(by_fp, "fp")
 
 
@@ -326,21 +372,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least doc_id, with its columns as they were.
 
     Rows of the same doc_id and component give way to the one of least text hash, and
-    equal rows to one of them. Texts cross the network once, to meet the list of those kept.
+    equal rows to one of them; of a component of null ids alone one row stays, too. Texts
+    cross the network once, to meet the list of those kept.
     """
-    columns, mark = docs.columns, F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = scratch(fingerprints(docs.select("doc_id", "text").withColumn("_mark", mark), ("doc_id", "_mark")), "fingerprints")
+    columns = docs.columns
+    mark, id0, none, times = fresh(docs, "_mark", "_id0", "_none", "_times")
+    own_mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = scratch(fingerprints(docs.select("doc_id", "text").withColumn(mark, own_mark), ("doc_id", mark)), "fingerprints")
     winners = components(rows).where("doc_id <=> component_id")
     # by root: component_ids are null for null ids alone, and the same for components that share a doc_id; all winners of a root have one doc_id
-    least = winners.groupBy("root", "doc_id").agg(F.min("_mark").alias("_kept"))
-    kept = least.select(F.col("doc_id").alias("_id"), "_kept").distinct()
-    times = rows.groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
-    null_safe = lambda d: (F.coalesce(d, F.lit(0)), d.isNull())
-    kept = kept.select(*[c.alias(n) for c, n in zip(null_safe(F.col("_id")), ("_id0", "_none"), strict=True)], "_kept")
-    times = times.select(*[c.alias(n) for c, n in zip(null_safe(F.col("_id")), ("_id0", "_none"), strict=True)], "_kept", "_times")
-    kept = scratch(kept.join(times, ["_id0", "_none", "_kept"]), "kept")
-    marked = docs.select("*", *[c.alias(n) for c, n in zip(null_safe(F.col("doc_id")), ("_id0", "_none"), strict=True)], mark.alias("_kept"))
-    single = marked.join(kept.where("_times = 1").drop("_times"), ["_id0", "_none", "_kept"], "left_semi")
+    kept = winners.groupBy("root", "doc_id").agg(F.min(mark).alias(mark)).select("doc_id", mark).distinct()
+    counted = rows.groupBy("doc_id", mark).agg(F.count(F.lit(1)).alias(times))
+    keys = [id0, none, mark]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({id0: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull()})
+
+    kept = scratch(keyed(kept).drop("doc_id").join(keyed(counted).drop("doc_id"), keys), "kept")
+    marked = keyed(docs.withColumn(mark, own_mark))
+    single = marked.join(kept.where(F.col(times) == 1).drop(times), keys, "left_semi")
     # the second branch is for repeated rows alone; in most corpora its list is empty or small
-    several = marked.join(kept.where("_times > 1").drop("_times"), ["_id0", "_none", "_kept"], "left_semi").dropDuplicates(["_id0", "_none", "_kept"])
-    return single.unionByName(several).select(*columns)
+    several = marked.join(kept.where(F.col(times) > 1).drop(times), keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(several).select(*[f"`{c}`" for c in columns])

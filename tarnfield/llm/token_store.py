@@ -1,13 +1,21 @@
 """Token-id output: Parquet files of list columns in ascending doc_id order.
 
 The file format: one row per document with doc_id, part (number of the file),
-start_in_part, n_tokens and ids (list of 32-bit ids, dictionary-coded while a
-chunk's dictionary holds, else delta-coded by the version-2 writer). Row groups are
-bounded in bytes and pages in rows; page indexes are written, so a reader with a
-doc_id range, or one that asks only for lengths, touches those pages alone.
-
-Defined cases: a null or empty text has the end id only; null doc_ids come
-first; rows with equal doc_id keep to a fixed order by text and stay rows of their own.
+start_in_part, n_tokens and ids (list of 32-bit ids). Ids are dictionary-coded while a
+chunk's dictionary holds, the numbers beside them delta-coded; ``encoding='delta'`` codes
+the ids so, too. Row groups are bounded in bytes and pages in rows; page indexes are
+written, so a reader with a doc_id range, or one that asks only for lengths, touches those
+pages alone.
+
+Texts are encoded where they are read, and what is put in order is their ids, in two bytes
+each where they fit: texts are read once and never cross the network.
+
+Defined cases: a null or empty text has the end id only; null doc_ids come first; rows of
+one doc_id stay rows of their own, in the order of their texts' hashes, so the files hold
+the same rows in the same order however the input was split; equal rows can't be told
+apart; an id may hold any share of the rows; very long texts are encoded whole; an empty
+table gives files without rows; other columns of the documents are left aside, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,44 +29,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import strings
+from tarnfield.llm.common import drop_scratch, join_few, part_starts, scratch, slices, strings
 from tarnfield.llm.tokens import END_ID, encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2000
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Rows of an output batch hold about so many ids.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1 << 19
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
-    """Encode every text and write the files; a range exchange of the texts puts them in order."""
+def encoded(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n_tokens and raw (ids of two bytes each, or of four in rows where one needs them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = encoder(vocabulary, end_id).encode, TaskContext.get().partitionId(), 0
+        encode = encoder(vocabulary, end_id).encode
+        for batch in slices(batches, 512):
+            raws, sizes = [], []
+            for text in strings(batch.column("text")):
+                ids = np.frombuffer(encode(text), dtype="<u4")
+                sizes.append(len(ids))
+                raws.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else ids.tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_tokens": pa.array(sizes, pa.int64()), "raw": pa.array(raws, pa.binary())})
+
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    return marked.mapInArrow(run, "doc_id long, mark long, n_tokens long, raw binary")
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, encoding: str = "dictionary") -> None:
+    """Encode every text and write the files; a range exchange of the ids puts them in order."""
+    if encoding not in ("dictionary", "delta"):
+        raise ValueError(f"unknown encoding {encoding}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                first, raws, total = at, [], 0
-                texts = strings(batch.column("text").slice(at, 512))
-                for text in texts:
-                    raws.append(encode(text))
-                    total += len(raws[-1]) // 4
-                    at += 1
-                    if total >= BATCH_IDS:
-                        break
-                sizes = np.array([len(r) // 4 for r in raws], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
+            sizes = batch.column("n_tokens").to_numpy()
+            # cut where about BATCH_IDS more ids have come together
+            marks = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_IDS)) + 1
+            for at, end in zip([0, *marks], [*marks, len(sizes)], strict=True):
+                if at == end:
+                    continue
+                own = sizes[at:end]
+                ends = np.concatenate([[0], np.cumsum(own)])
+                raws = batch.column("raw").slice(at, end - at).to_pylist()
+                ids = np.concatenate([np.frombuffer(r, dtype="<u2" if len(r) == 2 * n else "<u4").astype(np.int32) for r, n in zip(raws, own.tolist(), strict=True)])
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(first, at - first), "part": pa.array(np.full(len(raws), part, dtype=np.int32)), "start_in_part": pa.array(start + ends[:-1]), "n_tokens": pa.array(sizes),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raws), dtype="<i4"))),
+                    "doc_id": batch.column("doc_id").slice(at, end - at), "part": pa.array(np.full(len(own), part, dtype=np.int32)), "start_in_part": pa.array(start + ends[:-1]), "n_tokens": pa.array(own),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                 })
                 start += int(ends[-1])
 
-    salted = docs.select("doc_id", "text").withColumn("_salt", F.monotonically_increasing_id())
-    ordered = salted.repartitionByRange("doc_id", "_salt").sortWithinPartitions("doc_id", "text").drop("_salt")
+    rows = scratch(encoded(docs, vocabulary, end_id), "encoded")
+    # the salt parts equal rows alone: those of one id and text
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())
+    ordered = salted.repartitionByRange("doc_id", "mark", "salt").sortWithinPartitions("doc_id", "mark", "raw").select("doc_id", "n_tokens", "raw")
     writer = ordered.mapInArrow(run, SCHEMA).write.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
+    for column in ("doc_id", "part", "start_in_part", "n_tokens", *["ids.list.element"] * (encoding == "delta")):
+        writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     writer.option("parquet.enable.dictionary", "true").option("parquet.writer.version", "v2").option("compression", "zstd").parquet(path)
+    drop_scratch(rows)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -67,19 +97,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     Only the lengths are read for the starts: one sum per file comes to the driver.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
-    base, total = [], 0
-    for r in sorted(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["part"]):
-        base.append((r["part"], total))
-        total += r["n"]
-    starts = spark.createDataFrame(base or [(0, 0)], "part int, _base long")
-    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("_base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    starts, parts, _ = part_starts(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")), "part", "n", "_base")
+    return join_few(rows, starts, parts, 16, ["part"]).select("doc_id", (F.col("_base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of rows as read_tokens returns them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("ids")
             flat, ends = np.asarray(lists.values).astype("<u4", copy=False), np.asarray(lists.offsets)
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -13,7 +13,10 @@ Path: from there up to ``?``, ``#`` or the end.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; URLs that no rule fits get the default verdict; of rules with the
-same string the first counts.
+same string the first counts, and of fitting rules of equal length the one whose string
+is the least; very long URLs are split whole; an empty table gives no rows, an empty list
+of rules fits nothing; equal rows and repeated or null page_ids stay rows of their own;
+other columns of the pages are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import LOWER, UPPER
+from tarnfield.llm.common import LOWER, UPPER, scratch
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -112,14 +115,13 @@ def candidates(host: str, path: str, lengths: tuple[int, ...], most_labels: int)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = list(RULES), default: str = "allow", url: str = "url", key: str = "page_id") -> DataFrame:  # noqa: B006
-    """key, host, path, rule, verdict for each row; ``pages`` keeps its other columns to itself."""
-    spark, index = pages.sparkSession, DigestArray.build(rules)
-    raw = index.to_bytes()
+    """key, host, path, rule, verdict for each row."""
+    spark = pages.sparkSession
     host, path = host_path(url)
     rows = pages.select(key, host.alias("host"), path.alias("path"))
-    if len(raw) > BROADCAST_BYTES:
+    if sum(len(h) + len(p) + 17 for h, p, _ in rules) > BROADCAST_BYTES:
         return _join_rules(rows, rules, default, key)
-    shared = spark.sparkContext.broadcast(raw)
+    shared = spark.sparkContext.broadcast(DigestArray.build(rules).to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # each task maps its own copy; the file is in memory and goes with the mapping
@@ -149,10 +151,11 @@ def _join_rules(rows: DataFrame, rules: list[tuple[str, str, str]], default: str
         first.setdefault(f"{h}{p}", v)
     lengths, most = shape_of(rules)
     listed = spark.createDataFrame(list(first.items()), "rule string, rule_verdict string").withColumn("digest", F.xxhash64("rule"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = scratch(rows.withColumn("_row", F.monotonically_increasing_id()), "urls")  # written: a row's number must not change
     labels = F.split("host", r"\.")
     hosts = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
     tried = rows.select("_row", F.explode(F.array_distinct(F.flatten(F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))).alias("rule")).withColumn("digest", F.xxhash64("rule"))
-    best = tried.join(listed.hint("shuffle_merge"), ["digest", "rule"]).groupBy("_row").agg(F.max_by(F.struct("rule", "rule_verdict"), F.length("rule")).alias("best"))
+    # the longest, then the least string, as in candidates
+    best = tried.join(listed.hint("shuffle_merge"), ["digest", "rule"]).groupBy("_row").agg(F.min_by(F.struct("rule", "rule_verdict"), F.struct(-F.length("rule"), "rule")).alias("best"))
     return rows.join(best, "_row", "left").select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
