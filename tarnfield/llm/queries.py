@@ -1,4 +1,4 @@
-"""The eleven queries on training data, over their whole tables."""
+"""The ten queries on training data over their whole tables, and what SQL can say of three more of them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import classifier, decontaminate, packing, pii, quality_rules, secrets, sharding, simhash, token_store, url_filter
+from tarnfield.llm import classifier, decontaminate, packing, pii, quality_rules, secrets, sharding, simhash, sql, token_store, url_filter
 from tarnfield.llm.common import scratch_path, table
 
 
@@ -57,42 +57,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: the base spans."""
+    return op4_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the counts and the plain rules."""
+    return op5_quality_rules(spark, sf_dir).drop("kept", "anomaly")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the base spans."""
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """By name; the pipeline is added where its module stands."""
-    own = (op1_decontamination, op2_packing, op3_url_filter, op4_secrets, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_sharding, op9_token_store, op10_pii)
-    import corpus_pipeline
-
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
-
-
-#: Words of a text as DuckDB takes them.
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-OP1_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g
-       FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
-widths AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
-       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, widths WHERE len(w) >= n)),
-hits AS (SELECT r, n, k, item_id FROM dw JOIN bw USING (n, g)),
-words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
-"""
-
-OP3_SQL = """
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-rules(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-fit AS (SELECT p.page_id, p.host, p.path, h || q AS rule, v FROM p LEFT JOIN rules ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q))
-SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(v, length(rule)), 'allow') AS verdict FROM fit GROUP BY page_id, host, path
-"""
+    """By name."""
+    own = (op1_decontamination, op2_packing, op3_url_filter, op4_secrets, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_sharding, op9_token_store, op10_pii, secrets_base, quality_rule_counts, pii_base)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the same."""
-    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_decontamination": sql.OP1_SQL, "op3_url_filter": sql.OP3_SQL, "op8_sharding": sql.OP8_SQL, "secrets_base": sql.SECRETS_BASE_SQL, "quality_rule_counts": sql.QUALITY_COUNTS_SQL, "pii_base": sql.PII_BASE_SQL}
