@@ -8,7 +8,9 @@ written, so a reader with a doc_id range, or one that asks only for lengths, tou
 pages alone.
 
 Texts are encoded where they are read, and what is put in order is their ids, in two bytes
-each where they fit: texts are read once and never cross the network.
+each where they fit: texts are encoded once and never cross the network. The files' bounds
+come from a sample of the doc_ids alone, which is read without the texts; where an id is
+so frequent that it would fill a file, bounds within it come from a sample of its texts' hashes.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows of
 one doc_id stay rows of their own, in the order of their texts' hashes, so the files hold
@@ -21,6 +23,8 @@ their names.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import drop_scratch, join_few, part_starts, scratch, slices, strings
+from tarnfield.llm.common import join_few, part_starts, slices, strings
 from tarnfield.llm.tokens import END_ID, encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -37,23 +41,74 @@ PAGE_ROWS = 2000
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Rows of an output batch hold about so many ids.
 BATCH_IDS = 1 << 19
+#: Sampled rows for each file; the driver holds so many keys of 16 bytes a file.
+SAMPLED = 60
 
+#: A row's place: ids after nulls, then the id and the hash of its text.
+Key = tuple[bool, int, int]
+FIRST = -(1 << 63)
 
-def encoded(docs: DataFrame, vocabulary: str | None, end_id: int) -> DataFrame:
-    """doc_id, mark (hash of the text), n_tokens and raw (ids of two bytes each, or of four in rows where one needs them)."""
+
+def _sampled(rows: DataFrame, files: int) -> list[Key]:
+    """Sorted keys of a sample of rows (doc_id and, as the case may be, mark)."""
+    n = rows.count()
+    got = rows.sample(min(1.0, SAMPLED * files / max(n, 1)), seed=17).toArrow()
+    marks = got.column("mark").to_pylist() if "mark" in got.column_names else [FIRST] * got.num_rows
+    return sorted((i is not None, i or 0, m) for i, m in zip(got.column("doc_id").to_pylist(), marks, strict=True))
+
+
+def bounds_of(docs: DataFrame, files: int) -> list[Key]:
+    """Keys of the first rows of all files but the first; equal ones stand for the files that a hot key fills."""
+
+    def cut(keys: list[Key]) -> list[Key]:
+        return [keys[len(keys) * k // files] for k in range(1, files)] if keys else []
+
+    keys = _sampled(docs.select("doc_id"), files)
+    hot = [k for k, n in Counter(cut(keys)).items() if n > 1]
+    if hot:
+        ids = [i for there, i, _ in hot if there]
+        own = F.col("doc_id").isin(ids) if len(hot) == len(ids) else F.col("doc_id").isNull() | F.col("doc_id").isin(ids)
+        inside = _sampled(docs.where(own).select("doc_id", _mark().alias("mark")), files)
+        by_id: dict[Key, list[Key]] = {}
+        for k in inside:
+            by_id.setdefault((*k[:2], FIRST), []).append(k)
+        # a hot id's sampled rows take hashes from its own sample, spread evenly
+        place, total = Counter(), Counter(keys)
+        for at, k in enumerate(keys):
+            if k in by_id:
+                keys[at] = by_id[k][place[k] * len(by_id[k]) // total[k]]
+                place[k] += 1
+    return cut(keys)
+
+
+def _mark():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def encoded(docs: DataFrame, vocabulary: str | None, end_id: int, bounds: list[Key]) -> DataFrame:
+    """file (its number), doc_id, mark (hash of the text), n_tokens and raw (ids of two bytes each, or of four in rows where one needs them).
+
+    Rows equal to a bound may go to any of the files that it bounds, being alike: they take turns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, end_id).encode
+        encode, own, turns = encoder(vocabulary, end_id).encode, shared.value, Counter()
         for batch in slices(batches, 512):
-            raws, sizes = [], []
-            for text in strings(batch.column("text")):
+            raws, sizes, files = [], [], []
+            for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strings(batch.column("text")), strict=True):
+                key = (doc_id is not None, doc_id or 0, mark)
+                low, high = bisect_left(own, key), bisect_right(own, key)
+                if high > low:
+                    turns[key] += 1
+                    low += (turns[key] + TaskContext.get().partitionId()) % (high - low + 1)
                 ids = np.frombuffer(encode(text), dtype="<u4")
+                files.append(low)
                 sizes.append(len(ids))
                 raws.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else ids.tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_tokens": pa.array(sizes, pa.int64()), "raw": pa.array(raws, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array(files, pa.int32()), "doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_tokens": pa.array(sizes, pa.int64()), "raw": pa.array(raws, pa.binary())})
 
-    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    return marked.mapInArrow(run, "doc_id long, mark long, n_tokens long, raw binary")
+    return docs.select("doc_id", _mark().alias("mark"), "text").mapInArrow(run, "file int, doc_id long, mark long, n_tokens long, raw binary")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, encoding: str = "dictionary") -> None:
@@ -80,15 +135,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                 })
                 start += int(ends[-1])
 
-    rows = scratch(encoded(docs, vocabulary, end_id), "encoded")
-    # the salt parts equal rows alone: those of one id and text
-    salted = rows.withColumn("salt", F.monotonically_increasing_id())
-    ordered = salted.repartitionByRange("doc_id", "mark", "salt").sortWithinPartitions("doc_id", "mark", "raw").select("doc_id", "n_tokens", "raw")
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = encoded(docs, vocabulary, end_id, bounds_of(docs, files)).repartitionById(files, F.col("file"))
+    ordered = dealt.sortWithinPartitions("doc_id", "mark", "raw").select("doc_id", "n_tokens", "raw")
     writer = ordered.mapInArrow(run, SCHEMA).write.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     for column in ("doc_id", "part", "start_in_part", "n_tokens", *["ids.list.element"] * (encoding == "delta")):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     writer.option("parquet.enable.dictionary", "true").option("parquet.writer.version", "v2").option("compression", "zstd").parquet(path)
-    drop_scratch(rows)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

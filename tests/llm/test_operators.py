@@ -182,6 +182,24 @@ def test_token_files_are_the_same_however_the_input_is_split(spark, tmp_path):
         token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path)
         files.append([(r.doc_id, r.start, tuple(r.ids)) for r in token_store.read_tokens(spark, path).orderBy("start").collect()])
     assert files[0] == files[1] and [r[0] for r in files[0]] == [None, 4, *[5] * 2000, 6]
+    parts = Counter(r.part for r in spark.read.parquet(f"file://{tmp_path}/split7").select("part").collect())
+    assert len(parts) == 4 and max(parts.values()) < 900  # the one id fills all files
+
+
+def test_bounds_split_hot_ids_and_hot_texts(spark):
+    """Nulls, ids and texts that would fill a file alone have bounds within them, and rows equal to a bound take turns."""
+    rows = [(None, f"n {k}") for k in range(600)] + [(k, "t") for k in range(600)] + [(700, "same") for _ in range(900)] + [(701, f"u {k}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bounds = token_store.bounds_of(docs, 12)
+    assert len(bounds) == 11 and bounds == sorted(bounds) and {b[0] for b in bounds} == {True, False}
+    dealt = token_store.encoded(docs, None, 1, bounds).select("file", "doc_id", "mark").collect()
+    keys = {}
+    for r in dealt:
+        keys.setdefault(r.file, []).append((r.doc_id is not None, r.doc_id or 0, r.mark))
+    assert sum(map(len, keys.values())) == len(rows) and max(map(len, keys.values())) < 500
+    ends = [(min(keys[f]), max(keys[f])) for f in sorted(keys)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert token_store.bounds_of(docs.where("false"), 5) == []
 
 
 def test_token_files_are_dictionary_and_delta_coded(spark, docs, tmp_path):
