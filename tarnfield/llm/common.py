@@ -1,19 +1,10 @@
-"""Shared plumbing of the training-data operators: Arrow kernels, scratch tables, numbering.
-
-Scratch tables stand in for lineage cuts: they are Parquet folders in the shared
-folder of ``spark.checkpoint.dir``, so a lost executor costs a re-read and no
-recomputation, and every executor and the driver see the same rows. They lie below a
-folder of their application. What an operator reads no more it drops itself; the rest
-goes when the driver ends, or by ``clear_scratch``; what a killed driver left goes by
-``sweep_scratch``.
+"""Shared plumbing of the training-data operators: Arrow kernels, names, numbering, samples.
+
+Scratch tables (``tarnfield.scratch``) stand in for lineage cuts.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfield.scratch import clear_scratch, drop_scratch, scratch, scratch_path, settled, shared_dir, sweep_scratch
+
+__all__ = ["BROADCAST_BYTES", "LOWER", "LOWER_BYTES", "UPPER", "arrow_map", "clear_scratch", "crc_mod5", "drop_scratch", "fresh", "join_few", "one_text_each", "part_starts", "sample_by_hash", "scratch", "scratch_path", "settled", "shared_dir", "slices", "strings", "sweep_scratch", "table", "utf8", "with_ordinal"]
+
 #: ASCII letters only; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -31,90 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set and driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="tarnfield-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _store(spark: SparkSession, path: str):
-    """A Hadoop path and its file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-#: Paths of the scratch tables made so far, in turn.
-_made: list[str] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in this application's part of the shared folder, which is deleted when the driver's JVM ends."""
-    own = f"{shared_dir(spark)}/tarnfield/{spark.sparkContext.applicationId}"
-    at, store = _store(spark, own)
-    if not store.exists(at):
-        store.mkdirs(at)
-        store.deleteOnExit(at)  # of what doesn't exist this would take no note
-    path = f"{own}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    at, store = _store(spark, path)
-    store.delete(at, True)
-
-
-def drop_scratch(*tables: DataFrame) -> None:
-    """Remove the scratch tables behind frames that ``scratch`` returned and nothing reads any more."""
-    for df in tables:
-        drop_path(df.sparkSession, df._scratch)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove all scratch tables of this application: results that read them must have been written."""
-    drop_path(spark, f"{shared_dir(spark)}/tarnfield/{spark.sparkContext.applicationId}")
-
-
-def sweep_scratch(spark: SparkSession, hours: float = 72) -> list[str]:
-    """Remove what other applications left and haven't touched for so many hours; returns their ids."""
-    at, store = _store(spark, f"{shared_dir(spark)}/tarnfield")
-    old = []
-    for entry in store.listStatus(at) if store.exists(at) else ():
-        own = [entry.getModificationTime(), *(x.getModificationTime() for x in store.listStatus(entry.getPath()))]
-        name = entry.getPath().getName()
-        if name != spark.sparkContext.applicationId and max(own) < (time.time() - hours * 3600) * 1000:
-            store.delete(entry.getPath(), True)
-            old.append(name)
-    return old
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._scratch = path
-    return kept
-
-
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Writes what ``make`` returns and drops the scratch tables that it has made on the way."""
-    before = len(_made)
-    kept = scratch(make(), name)
-    for path in _made[before:]:
-        if path != kept._scratch:
-            drop_path(spark, path)
-    _made[before:] = [kept._scratch]
-    return kept
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []
