@@ -13,6 +13,16 @@ def from_span(kind: Column) -> Column:
     return F.when(kind.isin("page", "region", "time", "code"), kind).otherwise("line")
 
 
+def first_citation(spans: Column, path: Column) -> Column:
+    """URI of the first of a chunk's spans (structs of kind, start, end, and, as they have them, page, box, speaker); line 1 where there is none or it has no lines."""
+    first = F.get(spans, F.lit(0))
+    kind = from_span(F.coalesce(first["kind"], F.lit("byte")))
+    cites_lines = first["kind"].isin("line", "code")
+    start = F.when(kind == "page", F.coalesce(first["page"], first["start"])).when((kind == "line") & ~F.coalesce(cites_lines, F.lit(False)), F.lit(1)).otherwise(first["start"])
+    end = F.when((kind == "line") & ~F.coalesce(cites_lines, F.lit(False)), F.lit(1)).otherwise(first["end"])
+    return uri(path, kind, start, end, first["box"], first["speaker"])
+
+
 def clock(ms: Column) -> Column:
     """hh:mm:ss.mmm"""
     s = F.floor(ms / 1000)

@@ -12,6 +12,10 @@ FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"([\p{L}\p{N}]+)"
 MIN_TOKEN = 2
+#: Unicode's white space, as a set of characters and for splitting in Python and in Spark.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SPACE = re.compile(f"[{SPACES}]+")
 
 
 def fold(text: Column) -> Column:
@@ -24,9 +28,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
+def query_words(text: Column) -> Column:
+    """Words of a query between white space that are long enough to search."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: F.length(w) >= MIN_TOKEN)
+
+
 def query_tokens(text: Column) -> Column:
-    """Distinct tokens of a query that are long enough to search."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= MIN_TOKEN))
+    """Distinct index tokens of a query's words."""
+    return F.array_distinct(F.flatten(F.transform(query_words(text), tokens)))
 
 
 def glob_regex(glob: str, crosses_separator: bool = False) -> str:
@@ -92,29 +101,47 @@ def snippet(text: Column, terms: Column, chars: int = 220) -> Column:
 
 
 #: Characters that speak for a sound extraction; fixed values.
-SOUND = r"\x{09}\x{0A}\x{0D}\x{20}-\x{7E}\x{A0}-\x{24F}\x{1100}-\x{11FF}\x{2000}-\x{206F}\x{3000}-\x{30FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF00}-\x{FFEF}"
+SOUND = (
+    r"\x{09}\x{0A}\x{0D}\x{20}-\x{7E}\x{A0}-\x{24F}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+    r"\x{2010}\x{2013}\x{2014}\x{2015}\x{2018}\x{2019}\x{201C}\x{201D}\x{201E}\x{2026}\x{2027}\x{2032}\x{2033}"
+)
+#: What an extractor writes for characters it has no table for; a fixed value.
+MOJIBAKE = "?Identity-H Unimplemented?"
+
+
+def text_quality(text: Column) -> Column:
+    """Share of sound characters once the marks of missing tables are gone: 0 for no text or marks alone, at most 0.3 where marks are more than half of the bytes."""
+    left = F.replace(text, F.lit(MOJIBAKE), F.lit(""))
+    marked, n = F.contains(text, F.lit(MOJIBAKE)), F.length(left)
+    share = F.when(n > 0, F.length(F.regexp_replace(left, f"[^{SOUND}]", "")) / n).otherwise(0.0)
+    mostly = (F.octet_length(text) - F.octet_length(left)) > F.octet_length(left)
+    blank = F.regexp_replace(left, SPACE_CLASS, "") == ""
+    return F.when(text.isNull() | (marked & blank), 0.0).when(marked & mostly, F.least(share, F.lit(0.3))).otherwise(share)
 
 
-def text_quality(text: Column, marker: str = "\ufffd") -> Column:
-    """Share of sound characters, 0 for no text; at most 0.3 where replacement marks dominate."""
-    n = F.length(text)
-    share = F.length(F.regexp_replace(text, f"[^{SOUND}]", "")) / n
-    marks = n - F.length(F.replace(text, F.lit(marker), F.lit("")))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when(marks * 2 > n, F.least(share, F.lit(0.3))).otherwise(share)
+def needs_ocr(text: Column, min_chars: int = 20, threshold: float = 0.5, always: bool = False) -> Column:
+    """Whether a page's text is too short or too unsound to stand without recognition of its image."""
+    return F.lit(always) | (F.length(F.coalesce(text, F.lit(""))) < min_chars) | (text_quality(text) < threshold)
 
 
 #: Marks of generated files, lower-cased; fixed values.
-GENERATED = ("@generated", "do not edit", "do not modify", "automatically generated", "auto-generated", "code generated by", "this file was generated")
+GENERATED = ("@generated", "code generated by", "do not edit", "do not modify", "automatically generated", "auto-generated", "autogenerated")
 
 
 def is_generated(text: Column) -> Column:
-    """Whether the first ten lines of the first 512 characters hold a mark of a generated file."""
-    head = F.lower(F.array_join(F.slice(F.split(F.substring(text, 1, 512), "\n"), 1, 10), "\n"))
-    return F.coalesce(F.lit(False) | head.rlike("|".join(re.escape(g) for g in GENERATED)), F.lit(False))
+    """Whether the first ten lines of the first 512 bytes hold a mark of a generated file; bytes that end within a character hold none."""
+    head = F.substring(text.cast("binary"), 1, 512).cast("string")
+    lines = F.lower(F.array_join(F.slice(F.split(head, "\n"), 1, 10), "\n"))
+    return F.coalesce(F.is_valid_utf8(head) & lines.rlike("|".join(re.escape(g) for g in GENERATED)), F.lit(False))
+
+
+def line_count(text: Column) -> Column:
+    """Lines; a line feed at the end starts no further one."""
+    return F.size(F.split(text, "\n")) - F.when((text == "") | F.endswith(text, F.lit("\n")), 1).otherwise(0)
 
 
 def is_oversize(text: Column, max_bytes: int = 262144, max_lines: int = 5000) -> Column:
-    return (F.octet_length(text) > max_bytes) | (F.size(F.split(text, "\n")) > max_lines)
+    return (F.octet_length(text) > max_bytes) | (line_count(text) > max_lines)
 
 
 def title(front: Column, h1: Column, h2: Column, paragraph: Column, path: Column) -> Column:
@@ -125,9 +152,12 @@ def title(front: Column, h1: Column, h2: Column, paragraph: Column, path: Column
 
 
 def symbol_path(path: Column, symbol: Column) -> Column:
-    """Dotted module path of a Python file with a symbol after it; source roots are left out."""
-    stem = F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"^(?:crates/[^/]+/)?(?:src|lib)/", "")
-    return F.concat_ws(".", F.replace(F.regexp_replace(stem, r"/__init__$", ""), F.lit("/"), F.lit(".")), symbol)
+    """Dotted module path of a Python file with a symbol after it; source roots are left out, and scripts keep their path."""
+    script = path.rlike(r"\.(?:[mc]?ts|tsx|[mc]?js|jsx)$")
+    stem = F.regexp_replace(F.regexp_replace(path, r"\.pyi?$", ""), r"^crates/[^/]*/src/|^(?!crates/)(?:src|lib)/", "")
+    module = F.replace(F.regexp_replace(stem, r"(?:^|/)__init__$", ""), F.lit("/"), F.lit("."))
+    prefix = F.when(script, F.regexp_replace(path, r"\.[^./]*$", "")).otherwise(module)
+    return F.concat_ws(".", F.nullif(prefix, F.lit("")), symbol)
 
 
 def identity(*parts: Column) -> Column:
@@ -136,25 +166,59 @@ def identity(*parts: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """What follows the last dot of a file's name; a dot at its start begins none."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
+#: Extension to kind; fixed values.
+MEDIA = {
+    "md": "markdown", "mdx": "markdown", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "gif": "image", "tiff": "image", "tif": "image",
+    "m4a": "audio", "mp3": "audio", "wav": "audio", "flac": "audio", "ogg": "audio",
+}
+#: File name, then extension, to language; fixed values.
+CODE_NAMES = {
+    "Dockerfile": "dockerfile", "Makefile": "make", "GNUmakefile": "make", "Cargo.toml": "toml", "pyproject.toml": "toml", "package.json": "json", "tsconfig.json": "json", "go.mod": "go-mod", "pom.xml": "xml", "build.gradle": "groovy",
+}
+CODE = {
+    "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "sh": "shell", "bash": "shell", "zsh": "shell", "mk": "make",
+    "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "xml": "xml", "dockerfile": "dockerfile", "gradle": "groovy",
+}
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    """The table's value, null without one."""
+    out = F.when(F.lit(False), F.lit(""))
+    for value in dict.fromkeys(table.values()):
+        out = out.when(key.isin(*[k for k, v in table.items() if v == value]), value)
+    return out
 
 
-#: Extension to (kind, sub); fixed values.
-MEDIA = {"md": "markdown", "markdown": "markdown", "mdx": "markdown", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "gif": "image", "tiff": "image", "mp3": "audio", "wav": "audio", "m4a": "audio", "flac": "audio", "ogg": "audio"}
-CODE = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "xml": "xml", "sh": "shell", "bash": "shell"}
+def code_language(path: Column) -> Column:
+    """Language by file name, then by a name that begins with ``Dockerfile.``, then by extension."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.coalesce(_looked_up(name, CODE_NAMES), F.when(name.rlike(r"^Dockerfile\.."), "dockerfile"), _looked_up(extension(path), CODE))
 
 
 def media_kind(path: Column) -> Column:
-    """Kind of a path by its extension; code comes first, unknown extensions are ``other``."""
-    ext, named = extension(path), F.regexp_extract(path, r"([^/]*)$", 1)
-    out = F.when(ext.isin(*CODE) | named.isin("Dockerfile", "Makefile"), "code")
-    for kind in dict.fromkeys(MEDIA.values()):
-        out = out.when(ext.isin(*[e for e, k in MEDIA.items() if k == kind]), kind)
-    return out.otherwise("other")
+    """Kind of a path: code comes first, unknown extensions are ``other``."""
+    return F.when(code_language(path).isNotNull(), "code").otherwise(F.coalesce(_looked_up(extension(path), MEDIA), F.lit("other")))
 
 
-def code_language(path: Column) -> Column:
-    ext, out = extension(path), F.when(F.regexp_extract(path, r"([^/]*)$", 1) == "Dockerfile", "dockerfile")
-    for lang in dict.fromkeys(CODE.values()):
-        out = out.when(ext.isin(*[e for e, k in CODE.items() if k == lang]), lang)
-    return out
+def exif_time(text: Column) -> Column:
+    """A camera's ``YYYY:MM:DD hh:mm:ss`` as an ISO time; null if it isn't one."""
+    return F.date_format(F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def gps_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
+    """Decimal degrees; south and west are negative."""
+    return (degrees + minutes / 60 + seconds / 3600) * F.when(F.upper(ref).isin("S", "W"), -1).otherwise(1)
+
+
+def ctc_greedy(steps: Column, alphabet: Column) -> Column:
+    """Text and mean confidence of class scores by step: the best class of each, repeats as one, class 0 (blank) and classes without a letter left out."""
+    best = F.transform(steps, lambda row: F.struct((F.array_position(row, F.array_max(row)) - 1).cast("int").alias("c"), F.array_max(row).alias("v")))
+    kept = F.filter(best, lambda b, i: (b["c"] != 0) & ((i == 0) | (F.get(best, i - 1)["c"] != b["c"])) & (b["c"] <= F.size(alphabet)))
+    text = F.array_join(F.transform(kept, lambda b: F.get(alphabet, b["c"] - 1)), "")
+    mean = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, b: s + b["v"]) / F.size(kept)).otherwise(0.0)
+    return F.struct(text.alias("text"), mean.alias("confidence"))

@@ -1,7 +1,12 @@
-"""Chunkers: line windows and paragraphs in SQL, sequential ones as Arrow kernels over documents."""
+"""Chunkers: line windows and paragraphs in SQL, sequential ones as kernels over documents.
+
+Every document is chunked within its own row: no chunker shuffles, and rows that share a
+doc_id stay apart.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions import text as T
+from tarnfield.sources.code import code_units
 
-CHUNK = "doc_id string, ordinal int, heading_path array<string>, text string, start int, end int, token_estimate long"
+CHUNK = "doc_id string, ordinal int, chunk_id string, heading_path array<string>, text string, start int, end int, token_estimate long"
 
 
 def estimate(text: str) -> int:
@@ -34,10 +40,14 @@ def line_windows(docs: DataFrame, window: int = 200, overlap: int = 0) -> DataFr
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, text of runs of lines that aren't blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("blank", (F.trim("line") == "").cast("int"))
-    islands = lines.withColumn("island", F.sum("blank").over(Window.partitionBy("doc_id").orderBy("at"))).where("blank = 0")
-    got = islands.groupBy("doc_id", "island").agg((F.min("at") + 1).alias("start"), (F.max("at") + 1).alias("end"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    return got.select("doc_id", "start", "end", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    n = F.size("lines")
+    full = lambda k: F.regexp_replace(F.get("lines", k), T.SPACE_CLASS, "") != ""
+    at = F.sequence(F.lit(0), n - 1)
+    firsts = F.filter(at, lambda k: full(k) & ((k == 0) | ~F.coalesce(full(k - 1), F.lit(False))))
+    lasts = F.filter(at, lambda k: full(k) & ((k == n - 1) | ~F.coalesce(full(k + 1), F.lit(False))))
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines")).where("lines is not null")
+    runs = lines.select("doc_id", "lines", F.explode(F.arrays_zip(firsts.alias("a"), lasts.alias("b"))).alias("r"))
+    return runs.select("doc_id", (F.col("r.a") + 1).alias("start"), (F.col("r.b") + 1).alias("end"), F.array_join(F.slice("lines", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1), "\n").alias("text"))
 
 
 def paragraph_windows(docs: DataFrame, most: int = 80, overlap: int = 20) -> DataFrame:
@@ -76,14 +86,16 @@ def heading_chunks(blocks: list[dict], target: int = 500, overlap: int = 80, mos
     A heading starts a chunk and belongs to it; code, tables, images and audio
     stand alone; other text gathers until ``target`` tokens, and the next chunk then
     begins with the last blocks' text, up to min(overlap, target / 2) tokens of it.
-    With ``most``, chunks over that many tokens are split without loss.
+    With ``most``, chunks whose text is over that many tokens are split without loss; the
+    parts keep the chunk's spans and are told apart by ``seg``. A chunk of an image or a
+    recording alone is estimated at no tokens.
     """
     out, held, seed = [], [], min(overlap, target // 2)
 
     def close(keep: bool = False) -> None:
         nonlocal held
         if any(not b.get("seed") for b in held):
-            out.append({"text": "\n\n".join(b["text"] for b in held), "heading_path": held[-1]["heading_path"], "start": held[0]["start"], "end": held[-1]["end"]})
+            out.append({"text": "\n\n".join(b["text"] for b in held), "heading_path": held[-1]["heading_path"], "start": held[0]["start"], "end": held[-1]["end"], "spans": [(b["start"], b["end"]) for b in held]})
             tail = [b for b in held if b["kind"] != "heading"] if keep else []
             kept, used = [], 0
             for b in reversed(tail):
@@ -103,14 +115,23 @@ def heading_chunks(blocks: list[dict], target: int = 500, overlap: int = 80, mos
         elif b["kind"] in ("code", "table", "image", "audio"):
             close()
             held = []
-            out.append({k: b[k] for k in ("text", "heading_path", "start", "end")})
+            out.append({k: b[k] for k in ("text", "heading_path", "start", "end")} | {"spans": [(b["start"], b["end"])], "silent": b["kind"] in ("image", "audio")})
         else:
             held.append(b)
             if sum(estimate(x["text"]) for x in held) >= target:
                 close(keep=True)
     close()
-    cut = [c | {"text": t} for c in out for t in (split_oversize(c["text"], most) if most and estimate(c["text"]) > most else [c["text"]])]
-    return [c | {"ordinal": k, "token_estimate": estimate(c["text"])} for k, c in enumerate(cut)]
+    cut = []
+    for n, c in enumerate(out):
+        parts = split_oversize(c["text"], most) if most and estimate(c["text"]) > most else [c["text"]]
+        cut += [c | {"text": t, "base": n, "seg": i if len(parts) > 1 else None} for i, t in enumerate(parts)]
+    return [c | {"ordinal": k, "token_estimate": 0 if c.get("silent") else estimate(c["text"])} for k, c in enumerate(cut)]
+
+
+def chunk_ids(doc_id: str, chunks: list[dict], version: str = "md-heading-v2") -> list[str]:
+    """Ids from the document, the chunker and a chunk's place; the parts of a split chunk share one with ``#seg`` and their number."""
+    base = [hashlib.sha256("\x1f".join([doc_id, version, str(c.get("base", k))]).encode()).hexdigest()[:32] for k, c in enumerate(chunks)]
+    return [b if c.get("seg") is None else f"{b}#seg{c['seg']}" for b, c in zip(base, chunks, strict=True)]
 
 
 def page_chunks(text: str, target: int = 500, overlap: int = 80, most: int = 1000) -> list[dict]:
@@ -154,47 +175,6 @@ def code_chunks(units: list[dict], most: int = 200) -> list[dict]:
     return out
 
 
-def python_units(text: str) -> list[dict]:
-    """Functions, classes' methods and what is left of a Python file, decorators and comments above included; no units if it doesn't parse."""
-    import ast
-
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    lines, out, taken = text.split("\n"), [], set()
-
-    def visit(body: list, prefix: str) -> None:
-        for node in body:
-            if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                continue
-            first = min([node.lineno, *[d.lineno for d in node.decorator_list]])
-            while first > 1 and first - 1 not in taken and lines[first - 2].strip().startswith("#"):
-                first -= 1
-            name = f"{prefix}{node.name}"
-            if isinstance(node, ast.ClassDef):
-                inner = [n for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
-                last = min([n.lineno - len(n.decorator_list) for n in inner], default=node.end_lineno + 1) - 1
-                last = max(last, node.lineno)
-            else:
-                inner, last = [], node.end_lineno
-            out.append({"symbol": name, "text": "\n".join(lines[first - 1 : last]), "start": first, "end": last})
-            taken.update(range(first, last + 1))
-            visit(inner, f"{name}.")
-
-    visit(tree.body, "")
-    rest, run = [], []
-    for k, line in enumerate(lines, 1):
-        if k in taken:
-            rest, run = rest + [run] * bool(run), []
-        else:
-            run.append((k, line))
-    for r in [*rest, *[run] * bool(run)]:
-        if any(line.strip() for _, line in r):
-            out.append({"symbol": "<module>", "text": "\n".join(line for _, line in r), "start": r[0][0], "end": r[-1][0]})
-    return sorted(out, key=lambda u: u["start"])
-
-
 def manifest_chunks(text: str) -> list[dict]:
     """Resources of a manifest of several documents: kind[/namespace]/name; none if any document isn't valid."""
     import yaml
@@ -214,15 +194,24 @@ def manifest_chunks(text: str) -> list[dict]:
     return out
 
 
-def chunk_documents(docs: DataFrame, kernel: Callable[[str], list[dict]]) -> DataFrame:
-    """Runs a kernel over whole texts: doc_id, ordinal, symbol, text, start, end, token_estimate."""
+def chunk_documents(docs: DataFrame, kernel: Callable[..., list[dict]], *more: str) -> DataFrame:
+    """Runs a kernel over whole texts: doc_id, ordinal, symbol, text, start, end, token_estimate. The kernel gets the text and the columns ``more``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, k, c.get("symbol"), c["text"], c["start"], c["end"], estimate(c["text"])) for d, t in zip(b["doc_id"], b["text"], strict=True) for k, c in enumerate(kernel(t or ""))]
+            own = [b[c] for c in more]
+            rows = [(d, k, c.get("symbol"), c["text"], c["start"], c["end"], estimate(c["text"])) for d, t, *x in zip(b["doc_id"], b["text"], *own, strict=True) for k, c in enumerate(kernel(t or "", *x))]
             yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "symbol", "text", "start", "end", "token_estimate"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, ordinal int, symbol string, text string, start int, end int, token_estimate long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more).mapInPandas(run, "doc_id string, ordinal int, symbol string, text string, start int, end int, token_estimate long")
+
+
+def page_documents(pages: DataFrame, target: int = 500, overlap: int = 80, most: int = 1000) -> DataFrame:
+    """doc_id, page, ordinal, text, start, end, token_estimate of pages (doc_id, page, text); no chunk crosses a page, and start and end are code points of the page."""
+    rows = pages.withColumn("_key", F.to_json(F.struct(F.col("doc_id").cast("string").alias("d"), F.col("page").cast("int").alias("p"))))
+    got = chunk_documents(rows.select(F.col("_key").alias("doc_id"), "text"), lambda t: page_chunks(t, target, overlap, most))
+    key = F.from_json("doc_id", "d string, p int")
+    return got.withColumn("k", key).select(F.col("k.d").alias("doc_id"), F.col("k.p").alias("page"), "ordinal", "text", "start", "end", "token_estimate")
 
 
 def markdown_chunks(docs: DataFrame, target: int = 500, overlap: int = 80, most: int | None = 1000) -> DataFrame:
@@ -231,19 +220,36 @@ def markdown_chunks(docs: DataFrame, target: int = 500, overlap: int = 80, most:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, c["ordinal"], c["heading_path"], c["text"], c["start"], c["end"], c["token_estimate"]) for d, t in zip(b["doc_id"], b["text"], strict=True) for c in heading_chunks(parse_blocks(t or ""), target, overlap, most)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "heading_path", "text", "start", "end", "token_estimate"])
+            rows = []
+            for d, t in zip(b["doc_id"], b["text"], strict=True):
+                chunks = heading_chunks(parse_blocks(t or ""), target, overlap, most)
+                rows += [(d, c["ordinal"], i, c["heading_path"], c["text"], c["start"], c["end"], c["token_estimate"]) for c, i in zip(chunks, chunk_ids(d or "", chunks), strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "chunk_id", "heading_path", "text", "start", "end", "token_estimate"])
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, CHUNK)
 
 
+#: Languages whose files are cut into units, into windows as a whole, and by paragraphs whatever they hold; fixed values.
+UNIT_LANGUAGES = ("rust", "python", "typescript", "javascript", "go", "java", "kotlin", "c", "cpp")
+WHOLE_LANGUAGES = ("toml", "json", "xml", "go-mod", "groovy", "dockerfile")
+
+
 def route(docs: DataFrame) -> DataFrame:
-    """Chunks by language (column code_lang): Python by units, YAML by resources, manifests and Docker files by windows; what yields none, by paragraphs as ``none-v1``."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    py = chunk_documents(docs.where("code_lang = 'python'"), lambda t: code_chunks(python_units(t))).withColumn("chunker", F.lit("code-ast-v1"))
+    """Chunks by language (column code_lang; workspace_path, if there, names modules).
+
+    Source files by units, YAML by resources, manifests and Docker files by windows of
+    lines; what yields none of these goes by paragraphs as ``none-v1``. Shell scripts and
+    files of other languages go by paragraphs under that chunker's own name.
+    """
+    path = F.col("workspace_path") if "workspace_path" in docs.columns else F.lit("")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "code_lang", F.coalesce(path, F.lit("")).alias("path"))
+    units = chunk_documents(docs.where(F.col("code_lang").isin(*UNIT_LANGUAGES)), lambda t, lang, p: code_chunks(code_units(t, lang, p)), "code_lang", "path").withColumn("chunker", F.lit("code-ast-v1"))
     k8s = chunk_documents(docs.where("code_lang = 'yaml'"), manifest_chunks).withColumn("chunker", F.lit("manifest-resource-v1"))
-    whole = line_windows(docs.where("code_lang in ('toml', 'json', 'xml', 'dockerfile')"), 200, 0).select("doc_id", "ordinal", F.lit(None).cast("string").alias("symbol"), "text", "start", "end", T.chunk_token_estimate(F.col("text")).alias("token_estimate"), F.lit("file-v1").alias("chunker"))
-    own = py.unionByName(k8s).unionByName(whole)
-    rest = paragraph_windows(docs.join(own.select("doc_id").distinct(), "doc_id", "left_anti"))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    return own.unionByName(rest.select("doc_id", ordinal.alias("ordinal"), F.lit(None).cast("string").alias("symbol"), "text", "start", "end", T.chunk_token_estimate(F.col("text")).alias("token_estimate"), F.lit("none-v1").alias("chunker")))
+    no_symbol, tokens = F.lit(None).cast("string").alias("symbol"), T.chunk_token_estimate(F.col("text")).alias("token_estimate")
+    whole = line_windows(docs.where(F.col("code_lang").isin(*WHOLE_LANGUAGES)), 200, 0).select("doc_id", "ordinal", no_symbol, "text", "start", "end", tokens, F.lit("file-v1").alias("chunker"))
+    own = units.unionByName(k8s).unionByName(whole)
+    routed = F.coalesce(F.col("code_lang").isin(*UNIT_LANGUAGES, *WHOLE_LANGUAGES, "yaml"), F.lit(False))
+    rest = paragraph_windows(docs.where(routed).join(own.select("doc_id").distinct(), "doc_id", "left_anti")).withColumn("chunker", F.lit("none-v1"))
+    plain = paragraph_windows(docs.where(~routed)).withColumn("chunker", F.lit("code-text-paragraph-v1"))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end")) - 1
+    return own.unionByName(rest.unionByName(plain).select("doc_id", ordinal.alias("ordinal"), no_symbol, "text", "start", "end", tokens, "chunker"))

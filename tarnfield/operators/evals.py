@@ -6,7 +6,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
@@ -18,9 +22,12 @@ def _count(c: Column) -> Column:
 
 
 def first_ranks(golden: DataFrame, hits: DataFrame, by: str = "chunk") -> DataFrame:
-    """query_id, n_expected, first_rank (null: missed) by expected chunks or documents."""
-    expected = golden.select("query_id", F.array_distinct(F.coalesce(f"expected_{by}_ids", F.array().cast("array<string>"))).alias("expected"))
-    found = hits.join(expected, "query_id").where(F.array_contains("expected", F.col(f"{by}_id"))).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    """query_id, n_expected, first_rank (null: missed) by expected chunks or documents; by ``exact``, by chunks where any are expected, else by documents."""
+    listed = lambda c: F.array_distinct(F.coalesce(f"expected_{c}_ids", F.array().cast("array<string>")))
+    chunks = F.lit(by == "chunk") if by != "exact" else F.size(listed("chunk")) > 0
+    expected = golden.select("query_id", F.when(chunks, listed("chunk")).otherwise(listed("doc")).alias("expected"), chunks.alias("_by_chunk")) if by != "doc" else golden.select("query_id", listed("doc").alias("expected"), F.lit(False).alias("_by_chunk"))
+    own = F.when(F.col("_by_chunk"), F.col("chunk_id")).otherwise(F.col("doc_id"))
+    found = hits.join(expected, "query_id").where(F.array_contains("expected", own)).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return expected.select("query_id", F.size("expected").alias("n_expected")).join(found, "query_id", "left")
 
 
@@ -95,6 +102,76 @@ def choose_level(a_versions: set[str], b_versions: set[str], strict: bool = Fals
     return "doc"
 
 
+@dataclass(frozen=True)
+class Run:
+    """One evaluation: its id and settings, a row for each query, and the hits."""
+
+    run_id: str
+    config: dict
+    queries: DataFrame
+    hits: DataFrame
+
+
+def run_eval(golden: DataFrame, find: Callable[[DataFrame], DataFrame], run_id: str, config: dict, answers: DataFrame | None = None) -> Run:
+    """Asks all golden queries at once: ``find`` takes (query_id, text) and returns hits (query_id, rank, chunk_id, doc_id, score).
+
+    ``config`` must name the chunker_version. Answers, where there are any, come as data
+    (query_id, answer, grounded, citations, error) and their errors mark queries as failed.
+    """
+    if "chunker_version" not in config:
+        raise ValueError("config names no chunker_version")
+    text = "query" if "query" in golden.columns else "text"
+    key = "id" if "id" in golden.columns else "query_id"
+    asked = golden.select(F.col(key).alias("query_id"), F.col(text).alias("text"))
+    hits = find(asked).withColumn("run_id", F.lit(run_id))
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min_by(F.struct("chunk_id", "doc_id", "score"), "rank").alias("first_hit"))
+    rows = asked.join(n, "query_id", "left").withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "run_id": F.lit(run_id)})
+    if answers is not None:
+        rows = rows.join(answers.select("query_id", F.lit(True).alias("has_answer"), "error"), "query_id", "left")
+    else:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    has = F.coalesce("has_answer", F.lit(False)) if answers is not None else F.lit(False)
+    return Run(run_id, dict(config), rows.select("run_id", "query_id", F.col("text").alias("query"), "n_hits", "first_hit", has.alias("has_answer"), "error", F.col("error").isNotNull().alias("failed")), hits)
+
+
+def save_run(run: Run, path: str) -> None:
+    """Settings, a JSON line for each query and the hits below ``path``/run_id."""
+    spark = run.queries.sparkSession
+    at = f"{path}/{run.run_id}"
+    spark.createDataFrame([(run.run_id, json.dumps(run.config, sort_keys=True))], "run_id string, config string").write.parquet(f"{at}/run")
+    run.queries.write.parquet(f"{at}/queries")
+    run.queries.write.json(f"{at}/per_query")
+    run.hits.write.parquet(f"{at}/hits")
+
+
+def load_run(spark: SparkSession, path: str, run_id: str) -> Run:
+    at = f"{path}/{run_id}"
+    return Run(run_id, json.loads(spark.read.parquet(f"{at}/run").first()["config"]), spark.read.parquet(f"{at}/queries"), spark.read.parquet(f"{at}/hits"))
+
+
+def run_metrics(golden: DataFrame, run: Run, answers: DataFrame | None = None) -> DataFrame:
+    """The metrics of a run, its totals included."""
+    return metrics(golden, run.hits, answers, run.queries.select("query_id", "n_hits", "failed"))
+
+
+def compare_runs(a: Run, b: Run, golden: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
+    """per_query (query_id, a_rank, b_rank, kind), deltas and level (exact or doc) of two runs.
+
+    Runs of other chunker versions are compared by documents, or not at all if ``strict``;
+    deltas of metrics by chunk are null then.
+    """
+    level = "exact" if choose_level({a.config["chunker_version"]}, {b.config["chunker_version"]}, strict) == "chunk" else "doc"
+    ids = a.queries.select("query_id").unionByName(b.queries.select("query_id")).distinct()
+    known = golden.select("query_id", "expected_chunk_ids", "expected_doc_ids")
+    g = ids.join(known, "query_id", "left")
+    per_query = compare(first_ranks(g, a.hits, level), first_ranks(g, b.hits, level), golden)
+    by_chunk = tuple(f"{m}_{k}" for k in KS for m in ("hit_at", "precision_at")) + ("mrr",)
+    diff = deltas(run_metrics(golden, a), run_metrics(golden, b))
+    if level == "doc":
+        diff = diff.withColumns({c: F.lit(None).cast("double") for c in by_chunk})
+    return {"per_query": per_query, "deltas": diff, "level": golden.sparkSession.createDataFrame([(level,)], "level string")}
+
+
 def deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """b - a of each metric of two one-row frames; null where either is null."""
     return a.select(F.struct("*").alias("a")).crossJoin(b.select(F.struct("*").alias("b"))).select(*[F.round(F.col(f"b.{c}") - F.col(f"a.{c}"), 4).alias(c) for c in a.columns])

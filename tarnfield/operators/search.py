@@ -1,36 +1,30 @@
 """Retrieval for a DataFrame of queries: BM25, exact vectors, rank fusion, filters, pages.
 
 A single query is the one-row case. Filters come before ranking, so a selective one
-never leaves fewer than k hits when there are k. Queries are a stated set and small
-beside the corpus; they are broadcast where their size is checked, else joined.
+never leaves fewer than k hits when there are k. Queries are a stated set and go to the
+executors in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnfield.functions import text as T
+from tarnfield.operators.lexical import Index, passing_index, search_index
 
-K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 DEFAULT_K, RRF_K, FANOUT = 10, 60, 2
 TRUST = {"primary": 3, "secondary": 2, "generated": 1}
-#: Query rows up to this number are sent to all executors.
-BROADCAST_ROWS = 10_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; counting stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 # filters ---------------------------------------------------------------------------------------
 @dataclass
@@ -78,68 +72,17 @@ def trust_rank(level: Column) -> Column:
 
 
 # lexical ---------------------------------------------------------------------------------------
-def postings(chunks: DataFrame) -> DataFrame:
-    """Inverted index: term, chunk_id, tf, positions."""
-    exploded = chunks.select("chunk_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
-    return exploded.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def corpus_stats(chunks: DataFrame, body_copies: int = 2) -> DataFrame:
-    """One row: number of chunks and their mean length in indexed tokens, headings included."""
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(indexed_length(chunks, body_copies)).alias("avgdl"))
-
-
-def indexed_length(chunks: DataFrame, body_copies: int, tokens: Column | None = None) -> Column:
-    own = F.size(T.tokens(F.col("text")) if tokens is None else tokens) * body_copies
-    return own + F.size(T.tokens(F.concat_ws(" ", "heading_path"))) if "heading_path" in chunks.columns else own
-
+def index_of(corpus: DataFrame | Index, body_copies: int = 2) -> Index:
+    """A stored index as it is; for chunks, one that is made for them in the shared folder."""
+    return corpus if isinstance(corpus, Index) else passing_index(corpus, body_copies)
 
-def _occurrences(tokens: Column, phrase: Column) -> Column:
-    """How often the array ``phrase`` stands in the array ``tokens``, overlaps included; tokens are letters and digits, so they are their own patterns."""
-    text = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return F.regexp_count(text, F.concat(F.lit("(?= "), F.array_join(phrase, " "), F.lit(" )")))
 
+def match_scores(queries: DataFrame, corpus: DataFrame | Index, body_copies: int = 2, within: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, doc_id, raw (negative, lower is better) of all chunks for which a query's expression holds.
 
-def _phrase_count(starts: Column, n: Column) -> Column:
-    """Places where all ``n`` words of a phrase stand in turn; each array holds where the phrase would begin by one of its words."""
-    common = F.aggregate(F.slice(starts, F.lit(2), F.size(starts)), starts[0], F.array_intersect)
-    return F.when((n > 1) & (F.size(starts) == n), F.size(common)).otherwise(0)
-
-
-def match_scores(queries: DataFrame, chunks: DataFrame, body_copies: int = 2, within: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, doc_id, raw (negative, lower is better) of all chunks that hold all of a query's tokens.
-
-    ``within`` restricts hits to documents; the statistics stay those of the whole
-    corpus. Texts are read once for the statistics and once for the places of query
-    words; only those places leave the scan, and phrases are counted from them.
+    ``within`` restricts hits to documents; the statistics stay those of the whole corpus.
     """
-    asked = queries.select("query_id", T.query_tokens(F.col("text")).alias("terms"), T.tokens(F.col("text")).alias("phrase")).where(F.size("terms") > 0)
-    placed = asked.select("query_id", "terms", F.size("terms").alias("n_terms"), F.size("phrase").alias("n_phrase"), F.posexplode("phrase").alias("at", "term"))
-    words = small(placed.groupBy("query_id", "term", "n_terms", "n_phrase", F.array_contains("terms", F.col("term")).alias("counts")).agg(F.collect_list("at").alias("ats")), 100_000)
-    wanted = small(words.select("term").distinct(), 100_000)
-    body = chunks.select("*", T.tokens(F.col("text")).alias("_tokens")).select("chunk_id", "doc_id", indexed_length(chunks, body_copies, F.col("_tokens")).alias("dl"), "_tokens")
-    found = body.select("chunk_id", "doc_id", "dl", F.posexplode("_tokens").alias("pos", "term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.collect_list("pos").alias("places"))
-    # naming the places keeps this branch's exchange equal to the other's, so it is made once
-    df = tf.groupBy("term").agg(F.sum(F.when(F.size("places") > 0, 1)).alias("df"))
-    stats = F.broadcast(corpus_stats(chunks, body_copies))
-
-    def part(n: Column) -> Column:
-        tf_ = n * body_copies
-        return tf_ * (K1 + 1) / (tf_ + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    def idf(n: str) -> Column:
-        x = F.log((F.col("n_chunks") - F.col(n) + 0.5) / (F.col(n) + 0.5))
-        return F.when(x > 0, x).otherwise(FLOOR_IDF)
-
-    each = tf.join(df, "term").join(words, "term").crossJoin(stats)
-    each = each.withColumn("s", F.when(F.col("counts"), idf("df") * part(F.size("places")))).withColumn("starts", F.transform("ats", lambda o: F.transform("places", lambda p: p - o)))
-    both = each.groupBy("query_id", "chunk_id", "doc_id", "dl", "n_terms", "n_phrase").agg(F.sum("s").alias("s"), F.count("s").alias("n_found"), F.flatten(F.collect_list("starts")).alias("starts")).where("n_found = n_terms")
-    both = both.select("query_id", "chunk_id", "doc_id", "dl", "s", _phrase_count(F.col("starts"), F.col("n_phrase")).alias("n_whole"))
-    spread = both.groupBy("query_id").agg(F.sum(F.when((F.col("n_whole") > 0) & F.col("s").isNotNull(), 1)).alias("phrase_df"))
-    whole = F.coalesce(F.when(F.col("n_whole") > 0, idf("phrase_df") * part(F.col("n_whole"))), F.lit(0.0))
-    out = both.join(spread, "query_id").crossJoin(stats).select("query_id", "chunk_id", "doc_id", (-(F.col("s") + whole)).alias("raw"))
-    return out.join(within.select("doc_id"), "doc_id", "left_semi").select("query_id", "chunk_id", "doc_id", "raw") if within is not None else out
+    return search_index(queries, index_of(corpus, body_copies), None, within)
 
 
 def squash(raw: Column) -> Column:
@@ -152,11 +95,10 @@ def top_k(df: DataFrame, order: list[Column], k: int, key: str = "query_id") ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, body_copies: int = 2, within: DataFrame | None = None) -> DataFrame:
+def lexical(queries: DataFrame, corpus: DataFrame | Index, k: int = DEFAULT_K, body_copies: int = 2, within: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, doc_id, score, rank. k = 0 stands for 10."""
-    hits = match_scores(queries, chunks, body_copies, within)
-    ranked = top_k(hits, [F.round("raw", 10), F.col("chunk_id")], k or DEFAULT_K)
-    return ranked.select("query_id", "chunk_id", "doc_id", squash(F.col("raw")).alias("score"), "rank")
+    hits = search_index(queries, index_of(corpus, body_copies), k or DEFAULT_K, within)
+    return hits.select("query_id", "chunk_id", "doc_id", squash(F.col("raw")).alias("score"), "rank")
 
 
 # vectors ---------------------------------------------------------------------------------------
@@ -175,76 +117,151 @@ def shifted(cos: Column) -> Column:
     return F.coalesce(F.nanvl((cos + 1) / 2, F.lit(0.0)), F.lit(0.0))
 
 
-def vector(queries: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K, block: int = 256) -> DataFrame:
+def vector_set(embeddings: DataFrame, model: str, dim: int) -> DataFrame:
+    """The vectors of one model and width."""
+    return embeddings.where((F.col("model_id") == model) & (F.size("embedding") == dim))
+
+
+#: Query vectors that go to the executors at once, in bytes, and how many meet a batch at a time.
+VECTOR_BYTES, VECTOR_ROWS = 32 << 20, 64
+
+
+def _vector_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[list, np.ndarray]]]:
+    """Query ids and unit vectors by width, block after block; the next block is fetched when the last is planned."""
+    rows, used, made = [], 0, False
+    for r in queries.select("query_id", "embedding").where("embedding is not null and size(embedding) > 0").toLocalIterator():
+        rows.append((r["query_id"], r["embedding"]))
+        used += 8 * len(r["embedding"])
+        if used >= VECTOR_BYTES:
+            yield _by_width(rows)
+            rows, used, made = [], 0, True
+    if rows or not made:
+        yield _by_width(rows)
+
+
+def _by_width(rows: list) -> dict[int, tuple[list, np.ndarray]]:
+    out = {}
+    for width in sorted({len(v) for _, v in rows}):
+        own = [(i, v) for i, v in rows if len(v) == width]
+        m = np.array([[np.nan if x is None else x for x in v] for _, v in own], dtype=float)
+        out[width] = [i for i, _ in own], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return out
+
+
+def _best(names: np.ndarray, rounded: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by name."""
+    if len(rounded) > k:
+        own = np.flatnonzero(rounded >= np.partition(rounded, len(rounded) - k)[len(rounded) - k])
+    else:
+        own = np.arange(len(rounded))
+    return own[np.lexsort((names[own], -rounded[own]))][:k]
+
+
+def vector(queries: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Exact nearest neighbours of each query row (query_id, embedding) among (chunk_id, doc_id, embedding).
 
-    The queries are a bounded block on the driver at a time; each Arrow batch of
-    vectors is multiplied by the block at once and keeps its own k best, so no more
-    than k rows per query and batch go to the ranking shuffle.
+    Query vectors are broadcast up to ``VECTOR_BYTES`` at a time, and one pass over the
+    embeddings serves them all. A task keeps the k best of each query, so no more than k
+    rows per query and task go to the ranking shuffle. A query meets the vectors of its own
+    width only; null and empty vectors meet nothing, a component that is null or not a
+    number makes the score 0.
     """
     spark, out = embeddings.sparkSession, None
-    rows = [(r["query_id"], r["embedding"]) for r in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator()]
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind, query_type = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {kind}, chunk_id {embeddings.schema['chunk_id'].dataType.simpleString()}, doc_id {embeddings.schema['doc_id'].dataType.simpleString()}, score double"
-    for at in range(0, max(len(rows), 1), block):
-        part = rows[at : at + block]
-        q = np.array([v for _, v in part], dtype=float).reshape(len(part), -1)
-        shared = spark.sparkContext.broadcast(([i for i, _ in part], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(part) else q))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, unit = shared.value
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                m = np.stack(b["embedding"].to_numpy()).astype(float)
-                norm = np.linalg.norm(m, axis=1)
-                score = (unit @ m.T / np.where(norm > 0, norm, 1) + 1) / 2
-                score[:, norm == 0] = 0
-                score[np.linalg.norm(unit, axis=1) == 0] = 0
-                order = np.lexsort((np.broadcast_to(b["chunk_id"].to_numpy().astype(str), score.shape), -np.round(score, 10)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), order.shape[1]), "chunk_id": b["chunk_id"].to_numpy()[order.ravel()], "doc_id": b["doc_id"].to_numpy()[order.ravel()], "score": np.take_along_axis(score, order, 1).ravel()})
-
-        got = embeddings.select("chunk_id", "doc_id", "embedding").mapInPandas(best, schema)
+    rows = embeddings.select("chunk_id", "doc_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    for block in _vector_blocks(queries):
+        shared = spark.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kept: dict = {}  # (width, query's place) -> (names, documents, scores) of the best so far
+            types = None
+            for batch in batches:
+                types = batch.schema.field("chunk_id").type, batch.schema.field("doc_id").type
+                lists = batch.column("embedding")
+                widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+                for width, (_, unit) in shared.value.items():
+                    own = np.flatnonzero(widths == width)
+                    if not len(own):
+                        continue
+                    part = batch.take(pa.array(own))
+                    names, docs = (np.array(part.column(c).to_pylist(), dtype=object) for c in ("chunk_id", "doc_id"))
+                    m = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                    norm = np.linalg.norm(m, axis=1)
+                    for at in range(0, len(unit), VECTOR_ROWS):
+                        q = unit[at : at + VECTOR_ROWS]
+                        score = (q @ m.T / np.where(norm > 0, norm, 1) + 1) / 2
+                        score[:, ~(norm > 0)] = 0
+                        score[~(np.linalg.norm(q, axis=1) > 0)] = 0
+                        score = np.nan_to_num(score)
+                        for j in range(len(q)):
+                            had = kept.get((width, at + j))
+                            n, d, s = (names, docs, score[j]) if had is None else (np.concatenate(x) for x in zip(had, (names, docs, score[j]), strict=True))
+                            top = _best(n, np.round(s, 10), k)
+                            kept[width, at + j] = n[top], d[top], s[top]
+            for (width, j), (n, d, s) in kept.items():
+                ids = shared.value[width][0]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j]] * len(n), query_type), "chunk_id": pa.array(list(n), types[0]), "doc_id": pa.array(list(d), types[1]), "score": pa.array(s)})
+
+        got = rows.mapInArrow(best, schema)
         out = got if out is None else out.unionByName(got)
+    # a query's k best of every task meet here: one row for each chunk of a query
     ranked = top_k(out.dropDuplicates(["query_id", "chunk_id"]), [F.round("score", 10).desc(), F.col("chunk_id")], k)
     return ranked.select("query_id", "chunk_id", "doc_id", "score", "rank")
 
 
 # fusion ----------------------------------------------------------------------------------------
 def fuse(lex: DataFrame, vec: DataFrame, k: int = DEFAULT_K, k_rrf: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion; rank 1 on both sides is 1.0. Rows found by both take the lexical payload."""
-    a = lex.select("query_id", "chunk_id", F.col("doc_id").alias("_ld"), F.col("rank").alias("lex_rank"), F.col("score").alias("lex_score"))
-    b = vec.select("query_id", "chunk_id", F.col("doc_id").alias("_vd"), F.col("rank").alias("vec_rank"), F.col("score").alias("vec_score"))
+    """Reciprocal-rank fusion; rank 1 on both sides is 1.0. Rows found by both take the lexical side's other columns."""
+    own = ("query_id", "chunk_id", "rank", "score")
+    more = [c for c in dict.fromkeys([*lex.columns, *vec.columns]) if c not in own]
+    a = lex.select("query_id", "chunk_id", F.struct(F.col("rank").alias("r"), F.col("score").alias("s"), *[c for c in more if c in lex.columns]).alias("_l"))
+    b = vec.select("query_id", "chunk_id", F.struct(F.col("rank").alias("r"), F.col("score").alias("s"), *[c for c in more if c in vec.columns]).alias("_v"))
     part = lambda c: F.coalesce(1 / (F.lit(float(k_rrf)) + F.col(c)), F.lit(0.0))
-    both = a.join(b, ["query_id", "chunk_id"], "full_outer").withColumn("score", (part("lex_rank") + part("vec_rank")) / (2 / (k_rrf + 1)))
-    ranked = top_k(both, [F.round("score", 10).desc(), F.asc_nulls_last("lex_rank"), F.col("chunk_id")], k)
-    return ranked.select("query_id", "chunk_id", F.coalesce("_ld", "_vd").alias("doc_id"), "score", "rank", "lex_rank", "vec_rank", "lex_score", "vec_score")
+    both = a.join(b, ["query_id", "chunk_id"], "full_outer").withColumn("score", (part("_l.r") + part("_v.r")) / (2 / (k_rrf + 1)))
+    ranked = top_k(both, [F.round("score", 10).desc(), F.asc_nulls_last("_l.r"), F.col("chunk_id")], k)
+    # the side that has the row gives its payload as a whole, nulls included
+    payload = [F.when(F.col("_l").isNotNull(), F.col(f"_l.{c}")).otherwise(F.col(f"_v.{c}")) if c in lex.columns and c in vec.columns else F.col(f"_l.{c}" if c in lex.columns else f"_v.{c}") for c in more]
+    return ranked.select("query_id", "chunk_id", *[p.alias(c) for p, c in zip(payload, more, strict=True)], "score", "rank", F.col("_l.r").alias("lex_rank"), F.col("_v.r").alias("vec_rank"), F.col("_l.s").alias("lex_score"), F.col("_v.s").alias("vec_score"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K, within: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, corpus: DataFrame | Index, embeddings: DataFrame, k: int = DEFAULT_K, within: DataFrame | None = None) -> DataFrame:
     """Both sides are asked for twice k, then fused."""
     if within is not None:
         embeddings = embeddings.join(within.select("doc_id"), "doc_id", "left_semi")
-    return fuse(lexical(queries, chunks, FANOUT * k, within=within), vector(queries, embeddings, FANOUT * k), k)
+    return fuse(lexical(queries, corpus, FANOUT * k, within=within), vector(queries, embeddings, FANOUT * k), k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None, mode: str = "hybrid", k: int = DEFAULT_K, within: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame | Index, embeddings: DataFrame | None = None, mode: str = "hybrid", k: int = DEFAULT_K, within: DataFrame | None = None) -> DataFrame:
     """Hits by mode: lexical, vector or hybrid."""
     if mode == "lexical":
-        return lexical(queries, chunks, k, within=within)
+        return lexical(queries, corpus, k, within=within)
     if embeddings is None:
         raise ValueError(f"mode {mode} needs embeddings")
     if mode == "vector":
         return vector(queries, embeddings if within is None else embeddings.join(within.select("doc_id"), "doc_id", "left_semi"), k)
     if mode != "hybrid":
         raise ValueError(f"unknown mode {mode}")
-    return hybrid(queries, chunks, embeddings, k, within)
+    return hybrid(queries, corpus, embeddings, k, within)
+
 
+def trace(queries: DataFrame, corpus: DataFrame | Index, embeddings: DataFrame, k: int = DEFAULT_K, offset: int = 0, timed: bool = False) -> dict[str, DataFrame]:
+    """The lists before fusion, their union and the fused hits after ``offset``; with ``timed``, the lists are made at once and ``timings`` (stage, ms) tells how long each took."""
+    depth, took = offset + k, []
 
-def trace(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K) -> dict[str, DataFrame]:
-    """The lists before fusion, their union and the fused hits."""
-    lex, vec = lexical(queries, chunks, FANOUT * k), vector(queries, embeddings, FANOUT * k)
-    return {"lexical": lex, "vector": vec, "union": union_of(lex, vec), "fused": fuse(lex, vec, k)}
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        if timed:
+            began = time.perf_counter()
+            df = df.persist()
+            df.count()
+            took.append((name, (time.perf_counter() - began) * 1000))
+        return df
+
+    lex = stage("lexical", lexical(queries, corpus, FANOUT * depth))
+    vec = stage("vector", vector(queries, embeddings, FANOUT * depth))
+    fused = stage("fused", page(fuse(lex, vec, depth), offset, k))
+    out = {"lexical": lex, "vector": vec, "union": union_of(lex, vec), "fused": fused}
+    return out | {"timings": queries.sparkSession.createDataFrame(took, "stage string, ms double")} if timed else out
 
 
 def union_of(lex: DataFrame, vec: DataFrame) -> DataFrame:
@@ -263,6 +280,26 @@ def hydrate(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(chunks.drop("doc_id"), "chunk_id").join(docs, "doc_id", "left")
 
 
+def with_labels(hits: DataFrame, docs: DataFrame, columns: tuple[str, ...] = ("code_lang", "repo")) -> DataFrame:
+    """Labels that a hit lacks come from its document."""
+    own = docs.select("doc_id", *[F.col(c).alias(f"_doc_{c}") for c in columns])
+    out = hits.join(own, "doc_id", "left")
+    for c in columns:
+        out = out.withColumn(c, F.coalesce(c, f"_doc_{c}") if c in hits.columns else F.col(f"_doc_{c}"))
+    return out.drop(*[f"_doc_{c}" for c in columns])
+
+
+def cap_snippets(hits: DataFrame, chars: int | None, snippet: str = "snippet") -> DataFrame:
+    """Snippets of at most so many characters, if a number is given."""
+    return hits if chars is None else hits.withColumn(snippet, F.substring(snippet, 1, chars))
+
+
+def postfiltered(hits: DataFrame, passing: DataFrame, k: int) -> DataFrame:
+    """The order of ranking first: of each query's hits the first 6k are tried, those in ``passing`` (doc_id) keep their order, and k stay at most."""
+    tried = hits.where(F.col("rank") <= 6 * k).join(passing.select("doc_id").distinct(), "doc_id", "left_semi")
+    return top_k(tried.withColumnRenamed("rank", "_rank"), [F.col("_rank")], k).drop("_rank")
+
+
 def index_version(mode: str, lex: str = "lex:v1", model: str = "", version: str = "", dim: int = 0) -> str:
     vec = f"vec:{model}@{version}:{dim}"
     return {"lexical": lex, "vector": vec, "hybrid": f"hybrid:{lex}+{vec}"}[mode]
@@ -305,23 +342,21 @@ def next_cursor(returned: int, k: int, truncated: bool, offset: int, revision: s
 
 
 def fit_budget(hits: DataFrame, max_tokens: int, snippet: str = "snippet", floor: int = 60, start: int = 220) -> DataFrame:
-    """Snippets are halved down to ``floor`` characters, then the last hits go, until four characters a token suffice; one hit stays."""
-
-    def size(rows: pd.DataFrame) -> int:
-        return len(rows.to_json(orient="records", force_ascii=False))
-
-    def shrink(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, cap = rows.sort_values("rank").reset_index(drop=True), start
-        whole = rows[snippet].fillna("")
-        rows[snippet] = whole.str.slice(0, cap)
-        while size(rows) > 4 * max_tokens and cap > floor:
-            cap = max(floor, cap // 2)
-            rows[snippet] = whole.str.slice(0, cap)
-        while size(rows) > 4 * max_tokens and len(rows) > 1:
-            rows = rows.iloc[:-1]
-        return rows
-
-    return hits.groupBy("query_id").applyInPandas(shrink, hits.schema)
+    """Snippets are halved down to ``floor`` characters, then the last hits go, until four characters a token hold a query's hits as a JSON array; one hit stays."""
+    caps = [start]
+    while caps[-1] > floor:
+        caps.append(max(floor, caps[-1] // 2))
+    cut = lambda cap: F.substring(F.coalesce(snippet, F.lit("")), 1, cap)
+    length = lambda cap: F.length(F.to_json(F.struct(*[cut(cap).alias(c) if c == snippet else F.col(c) for c in hits.columns])))
+    own, whole = Window.partitionBy("query_id").orderBy("rank"), Window.partitionBy("query_id")
+    # brackets, the rows, a comma between two
+    sized = hits.withColumns({f"_size{c}": length(c) + 1 for c in caps} | {"_no": F.row_number().over(own)})
+    sized = sized.withColumns({f"_all{c}": F.sum(f"_size{c}").over(whole) + 1 for c in caps} | {"_upto": F.sum(f"_size{caps[-1]}").over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1})
+    text, keep = F, F
+    for c in caps:
+        text, keep = text.when(F.col(f"_all{c}") <= 4 * max_tokens, cut(c)), keep.when(F.col(f"_all{c}") <= 4 * max_tokens, F.lit(True))
+    kept = sized.withColumn("_keep", keep.otherwise((F.col("_no") == 1) | (F.col("_upto") <= 4 * max_tokens))).withColumn(snippet, text.otherwise(cut(caps[-1])))
+    return kept.where("_keep").select(*hits.columns)
 
 
 def bulk(items: list[dict], limit: int = 100) -> list[dict]:

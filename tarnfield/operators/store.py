@@ -6,11 +6,17 @@ new path and then published.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnfield.scratch import store_of
+
 VERSIONS = ("asset_id", "parser_version", "chunker_version", "embedding_version")
 
 
@@ -35,7 +41,12 @@ def deleted(stored: DataFrame, scanned: DataFrame, on_disk: DataFrame) -> DataFr
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, now: datetime) -> DataFrame:
-    """Documents by doc_id: new ones at version 1, known ones at the next with their creation time kept; others as they were."""
+    """Documents by doc_id: new ones at version 1, known ones at the next with their creation time kept; others as they were.
+
+    Of several fresh rows of one doc_id the one of least hash counts.
+    """
+    pick = F.min_by(F.struct(*fresh.columns), F.xxhash64(*fresh.columns)).alias("n")
+    fresh = fresh.groupBy(F.col("doc_id").alias("_id")).agg(pick).select("n.*")
     old = stored.select("doc_id", F.struct(*stored.columns).alias("o"))
     new = fresh.select("doc_id", F.struct(*fresh.columns).alias("n"))
     j = old.join(new, "doc_id", "full_outer")
@@ -56,9 +67,9 @@ def upsert(stored: DataFrame, fresh: DataFrame, now: datetime) -> DataFrame:
     return j.select(*cols)
 
 
-def replace_children(stored: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Children of all documents in ``fresh`` are replaced as a whole."""
-    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def replace_children(stored: DataFrame, fresh: DataFrame, key: str = "doc_id", of: DataFrame | None = None) -> DataFrame:
+    """Children (blocks, chunks, tags) of the documents in ``of`` are replaced by those in ``fresh``; without it, of all documents that have any there."""
+    return stored.join((fresh if of is None else of).select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
 def purge(gone: DataFrame, docs: DataFrame, chunks: DataFrame, embeddings: DataFrame, assets: DataFrame) -> dict[str, DataFrame]:
@@ -69,11 +80,22 @@ def purge(gone: DataFrame, docs: DataFrame, chunks: DataFrame, embeddings: DataF
 
 
 def upsert_vectors(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Vectors by chunk, the fresh ones first; models must not be mixed."""
-    if fresh.select("model_id").distinct().limit(2).count() > 1:
+    """Vectors by chunk, the fresh ones first; a table holds one model and one width.
+
+    With a status column the fresh ones come as ``pending``: readers see them after commit.
+    """
+    shape = [F.col("model_id"), *[F.size("embedding")] * ("embedding" in fresh.columns)]
+    if stored.select(*shape).unionByName(fresh.select(*shape)).distinct().limit(2).count() > 1:
         raise ValueError("mixed models")
+    if "status" in fresh.columns:
+        fresh = fresh.withColumn("status", F.lit("pending"))
     ranked = stored.withColumn("_f", F.lit(1)).unionByName(fresh.withColumn("_f", F.lit(0)))
-    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id", "model_id").orderBy("_f"))).where("_n = 1").drop("_f", "_n")
+    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id", "model_id").orderBy("_f", F.xxhash64(*fresh.columns)))).where("_n = 1").drop("_f", "_n")
+
+
+def commit(embeddings: DataFrame) -> DataFrame:
+    """Pending vectors are visible from now on."""
+    return embeddings.withColumn("status", F.when(F.col("status") == "pending", "committed").otherwise(F.col("status")))
 
 
 def committed(embeddings: DataFrame) -> DataFrame:
@@ -124,15 +146,118 @@ def next_revision(revision: int, report: DataFrame) -> int:
     return revision + (1 if changed else 0)
 
 
-def publish(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside the path, then swaps: readers see the old or the new state."""
+def orphans(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame, assets: DataFrame) -> DataFrame:
+    """tbl, id of what nothing refers to any more: chunks without a document, vectors without a chunk, assets without a document."""
+    lost = chunks.join(docs.select("doc_id"), "doc_id", "left_anti").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"))
+    blind = embeddings.join(chunks.join(docs.select("doc_id"), "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_anti").select(F.lit("embeddings").alias("tbl"), F.col("chunk_id").alias("id"))
+    unused = assets.join(docs.select("asset_id"), "asset_id", "left_anti").select(F.lit("assets").alias("tbl"), F.col("asset_id").alias("id"))
+    return lost.unionByName(blind).unionByName(unused)
+
+
+def stale_assets(chunks: DataFrame, docs: DataFrame, assets: DataFrame) -> DataFrame:
+    """Documents whose chunks were made from another asset than the one now at their path."""
+    j = docs.join(assets.select("workspace_path", F.col("asset_id").alias("now_id")), "workspace_path").where(F.col("asset_id") != F.col("now_id"))
+    return j.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "workspace_path", "asset_id", "now_id")
+
+
+# jobs ------------------------------------------------------------------------------------------
+JOB = "job_id string, kind string, status string, payload string, progress string, error string, created_at timestamp, updated_at timestamp, finished_at timestamp"
+STATUSES = ("pending", "running", "succeeded", "failed", "canceled")
+
+
+def new_job(spark: SparkSession, kind: str, payload: dict, now: datetime) -> DataFrame:
+    """One pending job; equal payloads at other times have other ids."""
+    text = json.dumps(payload, sort_keys=True, ensure_ascii=False)
+    job_id = hashlib.sha256("\x1f".join([kind, text, now.isoformat()]).encode()).hexdigest()[:32]
+    return spark.createDataFrame([(job_id, kind, "pending", text, None, None, now, now, None)], JOB)
+
+
+def job_progress(jobs: DataFrame, job_id: str, progress: dict, now: datetime) -> DataFrame:
+    """The first progress of a pending job makes it running."""
+    own = F.col("job_id") == job_id
+    status = F.when(own & (F.col("status") == "pending"), "running").otherwise(F.col("status"))
+    return jobs.withColumns({"status": status, "progress": F.when(own, json.dumps(progress)).otherwise(F.col("progress")), "updated_at": F.when(own, F.lit(now)).otherwise(F.col("updated_at"))})
+
+
+def job_finished(jobs: DataFrame, job_id: str, status: str, now: datetime, error: str | None = None) -> DataFrame:
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status}")
+    own = F.col("job_id") == job_id
+    told = F.lit(json.dumps({"message": error}) if error is not None else None).cast("string")
+    return jobs.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "error": F.when(own, told).otherwise(F.col("error")), "updated_at": F.when(own, F.lit(now)).otherwise(F.col("updated_at")), "finished_at": F.when(own, F.lit(now)).otherwise(F.col("finished_at"))})
+
+
+def list_jobs(jobs: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
+    """Jobs that pass, the oldest first."""
+    for column, value in (("status", status), ("kind", kind)):
+        jobs = jobs if value is None else jobs.where(F.col(column) == value)
+    return jobs.orderBy("created_at", "job_id")
+
+
+def run_report(items: DataFrame, run_id: str, started: datetime, finished: datetime) -> DataFrame:
+    """One row: how many items (status) of an ingest run were new, updated, unchanged or skipped, or failed."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return items.agg(F.count(F.lit(1)).alias("scanned"), n("new").alias("n_new"), n("updated").alias("n_updated"), n("skipped", "unchanged").alias("n_skipped"), n("error").alias("n_error")).select(
+        F.lit(run_id).alias("run_id"), "*", F.lit(int((finished - started).total_seconds() * 1000)).alias("duration_ms"), F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at")
+    )
+
+
+# checks ----------------------------------------------------------------------------------------
+#: Columns with a closed set of values; fixed values.
+DOMAINS = {
+    "storage_kind": ("copied", "reference"), "trust_level": ("primary", "secondary", "generated"), "source_type": ("markdown", "note", "paper", "reference", "inbox"), "status": ("pending", "committed", "tombstone"),
+}
+
+
+def domain_faults(rows: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame:
+    """column, value, n of values outside their columns' domains; nulls count as outside."""
+    out = None
+    for column, allowed in domains.items():
+        bad = rows.where(F.col(column).isNull() | ~F.col(column).isin(*allowed)).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(column).alias("column"), "value", "n")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def any_row(rows: DataFrame) -> bool:
+    """Whether there is a row; the search ends at the first."""
+    return not rows.isEmpty()
+
+
+# publishing ------------------------------------------------------------------------------------
+POINTER = "CURRENT"
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes a new version below ``path``, then turns the pointer to it by one rename; returns the version's path.
+
+    Readers (``published``) see the old or the new version, and a crash at any point
+    leaves the old one. The ``keep`` newest versions stay.
+    """
+    at, store = store_of(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(old), True)
-    if fs.exists(at):
-        fs.rename(at, hadoop.Path(old))
-    fs.rename(hadoop.Path(new), at)
-    fs.delete(hadoop.Path(old), True)
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{version}")
+    draft = hadoop.Path(f"{path}/.{POINTER}-{version}")
+    out = store.create(draft, True)
+    out.write(version.encode())
+    out.close()
+    uri = at.makeQualified(store.getUri(), store.getWorkingDirectory()).toUri()
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(uri, spark.sparkContext._jsc.hadoopConfiguration()).rename(store.makeQualified(draft), store.makeQualified(hadoop.Path(f"{path}/{POINTER}")), overwrite)
+    versions = sorted(s.getPath().getName() for s in store.listStatus(at) if s.getPath().getName().startswith("v-"))
+    for old in versions[: -max(keep, 1)]:
+        if old != version:
+            store.delete(hadoop.Path(f"{path}/{old}"), True)
+    return f"{path}/{version}"
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names."""
+    name = spark.read.option("wholetext", True).text(f"{path}/{POINTER}").first()[0]
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows are added to a table, answers or runs for instance."""
+    df.write.mode("append").parquet(path)

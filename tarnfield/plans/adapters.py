@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import text as T
+from tarnfield.operators.lexical import Index, held_index
 
 EXTENSIONS = ("md", "pdf", "png", "mp3", "py", "txt")
 
@@ -39,12 +40,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int | None = 2) -> DataFrame:
-    """The first words of each benchmark item; None for the whole item."""
-    b = read(spark, sf_dir, "benchmark")
-    if words is None:
-        return b.select(F.col("item_id").cast("string").alias("query_id"), "text")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, words), " ").alias("text"))
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of all documents, made once for each folder of tables and session."""
+    return held_index(chunks(spark, sf_dir), sf_dir)
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's whole text."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+
+
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of each benchmark item as a query of its own."""
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", T.SPACE_CLASS)).alias("k", "text"))
+    return words.select(F.concat_ws(":", "item_id", "k").alias("query_id"), "text")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +72,14 @@ def ocr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("run_id"), "ts", (F.col("event_type") != "error").alias("success"), F.floor("value").cast("bigint").alias("ms"), F.col("event_type").alias("engine"), page.alias("doc_id"))
 
 
-# the same for DuckDB ---------------------------------------------------------------------------
+# the same for DuckDB, with all constants written out -------------------------------------------
 def sql_tokens(text: str) -> str:
-    return rf"regexp_extract_all(translate(lower(coalesce({text}, '')), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '([\p{{L}}\p{{N}}]+)', 1)"
+    return rf"regexp_extract_all(translate(lower(coalesce({text}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '([\p{{L}}\p{{N}}]+)', 1)"
+
+
+SQL_SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SQL_ITEMS = "SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark"
+SQL_WORDS = f"SELECT item_id || ':' || (generate_subscripts(w, 1) - 1) AS query_id, unnest(w) AS text FROM (SELECT item_id, regexp_split_to_array(text, '{SQL_SPACE}') AS w FROM benchmark)"
 
 
 SQL_DOCS = """docs AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, text, lang, source AS source_id, n_chars,

@@ -1,11 +1,18 @@
-"""Markdown: frontmatter, metadata and a line-based block parser."""
+"""Markdown: frontmatter, metadata, a line-based block parser, and documents and blocks as DataFrames."""
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import re
 import tomllib
 import unicodedata
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FENCE, HEADING = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*(\S*)"), re.compile(r"^ {0,3}(#{1,6})(?:\s+(.*?))?\s*#*\s*$")
 ITEM, IMAGE = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(.*)$"), re.compile(r"^!\[([^\]]*)\]\(([^)\s]*)[^)]*\)$")
@@ -152,7 +159,12 @@ def to_markdown(blocks: list[dict]) -> str:
         elif b["kind"] == "code":
             out.append(f"```{b.get('lang') or ''}\n{b['text']}\n```")
         elif b["kind"] == "list":
-            out.append("\n".join(x if x.startswith("  ") else (f"{k}. {x}" if b.get("ordered") else f"- {x}") for k, x in enumerate(b["text"].split("\n"), 1)))
+            # lines of nested lists carry their own marks and don't count
+            lines, no = [], 0
+            for x in b["text"].split("\n"):
+                no += not x.startswith("  ")
+                lines.append(x if x.startswith("  ") else f"{no}. {x}" if b.get("ordered") else f"- {x}")
+            out.append("\n".join(lines))
         elif b["kind"] == "quote":
             out.append("\n".join("> " + x for x in b["text"].split("\n")))
         elif b["kind"] == "image":
@@ -160,3 +172,82 @@ def to_markdown(blocks: list[dict]) -> str:
         else:
             out.append(b["text"])
     return "\n\n".join(out)
+
+
+# DataFrames ------------------------------------------------------------------------------------
+EVENT = "struct<at:string,agent:string,kind:string,note:string>"
+DOCUMENT = (
+    "doc_id string, workspace_path string, asset_id string, title string, lang string, tags array<string>, aliases array<string>, created_at string, updated_at string, "
+    f"source_type string, trust_level string, user map<string,string>, provenance array<{EVENT}>, parser_version string, schema_version int, doc_version int"
+)
+BLOCK = "doc_id string, block_id string, position int, kind string, heading_path array<string>, ordinal int, start int, end int, text string, level int, lang string, target string"
+PARSER_VERSION = "md-frontmatter-v1"
+
+
+def identity(*parts: object) -> str:
+    """A stable id of 32 digits of its parts."""
+    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:32]
+
+
+def _nfc(text: str) -> str:
+    return unicodedata.normalize("NFC", text)
+
+
+def derive_title(given: str | None, blocks: list[dict], path: str) -> str:
+    """Given title, first heading of level 1, of level 2, 80 characters of the first paragraph, the file's stem, ``untitled``; in NFC."""
+    first = lambda *test: next((b["text"] for b in blocks if all(b.get(k) == v for k, v in test)), "")
+    stem = re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    tried = (given or "", first(("kind", "heading"), ("level", 1)), first(("kind", "heading"), ("level", 2)), first(("kind", "paragraph"))[:80], stem, "untitled")
+    return _nfc(next(t.strip() for t in tried if t.strip()))
+
+
+def canonical(text: str, path: str, asset_id: str, discovered_at: str | None = None, lang_hint: str | None = None, parser_version: str = PARSER_VERSION) -> tuple[dict, list[dict]]:
+    """One Markdown file as a document row and its block rows.
+
+    Ordinals count the blocks of one kind under one heading path, from 0. The language is
+    the frontmatter's, else detected, else hinted, else ``und``.
+    """
+    path = _nfc(path)
+    doc_id = identity("doc", path, asset_id, parser_version)
+    fields, body, _ = split_frontmatter(text)
+    meta, blocks, seen, rows = metadata(fields, detect_language(body), lang_hint), parse_blocks(text), {}, []
+    for position, b in enumerate(blocks):
+        key = (*b["heading_path"], b["kind"])
+        ordinal = seen[key] = seen.get(key, -1) + 1
+        block_id = identity("block", doc_id, b["kind"], b["heading_path"], ordinal, b["start"], b["end"])
+        rows.append({"doc_id": doc_id, "block_id": block_id, "position": position, "ordinal": ordinal} | {k: b.get(k) for k in ("kind", "heading_path", "start", "end", "text", "level", "lang", "target", "ordered")})
+    event = lambda agent, kind, note=None: {"at": discovered_at, "agent": agent, "kind": kind, "note": note}
+    events = [event("source", "discovered"), event("parser", "parsed", f"parser_version={parser_version}"), event("normalizer", "normalized"), *(event("parser", "warning", w) for w in meta["warnings"])]
+    doc = {"doc_id": doc_id, "workspace_path": path, "asset_id": asset_id, "title": derive_title(meta["title"], blocks, path), "provenance": events, "parser_version": parser_version, "schema_version": 1, "doc_version": 1}
+    return doc | {k: meta[k] for k in ("lang", "tags", "aliases", "created_at", "updated_at", "source_type", "trust_level", "user")}, rows
+
+
+def _rows(files: DataFrame, pick: Callable[[tuple[dict, list[dict]]], list[dict]], schema: str) -> DataFrame:
+    names = [f.name for f in files.sparkSession.createDataFrame([], schema).schema]
+    at = F.col("discovered_at").cast("string") if "discovered_at" in files.columns else F.lit(None).cast("string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [r for t, p, a, d in zip(b["text"], b["workspace_path"], b["asset_id"], b["discovered_at"], strict=True) for r in pick(canonical(t or "", p, a, d))]
+            out = pd.DataFrame({n: pd.Series([r[n] for r in got], dtype=object) for n in names})
+            for n in names:
+                if n in ("position", "ordinal", "start", "end", "level", "schema_version", "doc_version"):
+                    out[n] = out[n].astype("Int64")
+            yield out
+
+    return files.select("text", "workspace_path", "asset_id", at.alias("discovered_at")).mapInPandas(run, schema)
+
+
+def documents_of(files: DataFrame) -> DataFrame:
+    """Document rows of Markdown files (text, workspace_path, asset_id, maybe discovered_at)."""
+    return _rows(files, lambda c: [c[0]], DOCUMENT)
+
+
+def blocks_of(files: DataFrame) -> DataFrame:
+    """Block rows of Markdown files, each file within its own task: nothing is shuffled."""
+    return _rows(files, lambda c: c[1], BLOCK)
+
+
+def rendered(files: DataFrame) -> DataFrame:
+    """doc_id, text: files as their blocks say them again."""
+    return _rows(files, lambda c: [{"doc_id": c[0]["doc_id"], "text": to_markdown(c[1])}], "doc_id string, text string")

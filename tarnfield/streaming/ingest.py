@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def asset_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet files of assets as they come, each asset once."""
-    return spark.readStream.schema(schema).parquet(path).dropDuplicates(["asset_id"])
+def asset_stream(spark: SparkSession, path: str, schema: str, at: str = "discovered_at", late: str = "1 day") -> DataFrame:
+    """Parquet files of assets as they come, each asset once.
+
+    Assets are remembered until the newest ``at`` is ``late`` past theirs, so the state is
+    bounded; one that comes again after that is known to the store, where ingest_status
+    calls it unchanged.
+    """
+    rows = spark.readStream.schema(schema).parquet(path)
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["asset_id"])
 
 
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
