@@ -23,6 +23,7 @@ and its words count once where they are the same. A word without index tokens as
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -214,8 +215,27 @@ class Index:
         return rows.select("shard", "ord", "c.chunk_ids", "c.doc_ids").toDF("shard", "ord", "chunk_id", "doc_id")
 
 
-def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS, generation: int = 0) -> DataFrame:
-    """Index entries of chunks (chunk_id, doc_id, text, maybe heading_path), each task making shards of its own."""
+def bounds_of(entries: DataFrame, files: int) -> list[tuple[int, str]]:
+    """Keys (field, term) at which the next file begins, by the size of a sample's entries; a key stands as often as it would fill a file."""
+    got = entries.select("field", "term", F.greatest("cf", F.col("n").cast("long")).alias("w")).groupBy("field", "term").agg(F.sum("w").alias("w")).toArrow().sort_by([("field", "ascending"), ("term", "ascending")])
+    if not got.num_rows or files < 2:
+        return []
+    ends = np.cumsum(got.column("w").to_numpy())
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, files) / files)
+    return list(zip(got.column("field").take(pa.array(at)).to_pylist(), got.column("term").take(pa.array(at)).to_pylist(), strict=True))
+
+
+def _with_file(batch: pa.RecordBatch, bounds: list[tuple[int, str]]) -> pa.RecordBatch:
+    """The number of the file that each entry goes to; entries of a key that fills several take turns by shard."""
+    out = []
+    for field_, term, shard in zip(batch.column("field").to_pylist(), batch.column("term").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+        low, high = bisect_left(bounds, (field_, term)), bisect_right(bounds, (field_, term))
+        out.append(low + shard * 0x9E3779B97F4A7C15 % 2**64 % (high - low + 1) if high > low else low)
+    return batch.append_column("file", pa.array(out, pa.int32()))
+
+
+def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS, generation: int = 0, bounds: list[tuple[int, str]] | None = None) -> DataFrame:
+    """Index entries of chunks (chunk_id, doc_id, text, maybe heading_path), each task making shards of its own; with ``bounds``, also the file each goes to."""
     heads = T.tokens(F.concat_ws(" ", "heading_path")) if "heading_path" in chunks.columns else F.array().cast("array<string>")
     rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), T.tokens(F.col("text")).alias("body"), heads.alias("head"))
 
@@ -254,10 +274,9 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
             "dls": pa.array([dl.tolist()], pa.list_(pa.int32())), "positions": none, "chunk_ids": pa.array([table.column("chunk_id").to_pylist()], pa.list_(pa.string())), "doc_ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.string())),
         })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows_, tokens, number = [], 0, 0, 0
-        base = generation << 44 | TaskContext.get().partitionId() << 20
-        step = min(1024, shard_chunks)
+        base, step = generation << 44 | TaskContext.get().partitionId() << 20, min(1024, shard_chunks)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 held.append(batch.slice(at, step))
@@ -269,7 +288,11 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
         if held:
             yield from shard_of(pa.Table.from_batches(held), base | number)
 
-    return rows.mapInArrow(run, ENTRIES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shards(batches):
+            yield batch if bounds is None else _with_file(batch, bounds)
+
+    return rows.mapInArrow(run, ENTRIES if bounds is None else f"{ENTRIES}, file int")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -281,9 +304,10 @@ def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def write_index(entries: DataFrame, path: str, body_copies: int) -> Index:
-    """Writes entries, terms and statistics to a new folder; one exchange puts the entries in order of their terms."""
+    """Writes dealt entries, terms and statistics to a new folder; one exchange puts the entries in order of their terms."""
     spark = entries.sparkSession
-    ordered = entries.repartitionByRange("field", "term", "shard").sortWithinPartitions("field", "term", "shard")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = entries.repartitionById(files, F.col("file")).drop("file").sortWithinPartitions("field", "term", "shard")
     ordered.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1000).option("compression", "zstd").parquet(f"{path}/entries")
     own = Index(spark, path)
     body = own.entries.where(F.col("field") == BODY).groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
@@ -293,9 +317,15 @@ def write_index(entries: DataFrame, path: str, body_copies: int) -> Index:
     return own
 
 
+#: Chunks whose entries tell where files begin; their terms come to the driver.
+SAMPLED_CHUNKS = 2000
+
+
 def build_index(chunks: DataFrame, path: str, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS) -> Index:
-    """The index of all chunks in a new folder."""
-    return write_index(entries_of(chunks, body_copies, shard_chunks), path, body_copies)
+    """The index of all chunks in a new folder. Texts are tokenised once; a sample of them is, too, to tell where files begin."""
+    some = chunks.sample(min(1.0, SAMPLED_CHUNKS / max(chunks.count(), 1)), seed=5)
+    bounds = bounds_of(entries_of(some, body_copies), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return write_index(entries_of(chunks, body_copies, shard_chunks, 0, bounds), path, body_copies)
 
 
 def update_index(index: Index, chunks: DataFrame, changed: DataFrame, path: str, shard_chunks: int = SHARD_CHUNKS) -> Index:
@@ -315,7 +345,16 @@ def update_index(index: Index, chunks: DataFrame, changed: DataFrame, path: str,
     kept = index.entries.join(hit, "shard", "left_anti")
     generation = (index.entries.agg(F.max("shard")).first()[0] or 0) // (1 << 44) + 1
     copies = index.stats[2]
-    return write_index(kept.unionByName(entries_of(again, copies, shard_chunks, generation)), path, copies)
+    # what stands in the old files tells where the new ones begin
+    some = index.entries.sample(min(1.0, 50 * SAMPLED_CHUNKS / max(index.entries.count(), 1)), seed=5)
+    bounds = bounds_of(some, int(index.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _with_file(batch, bounds)
+
+    own = kept.select(*[f.name for f in index.entries.schema]).mapInArrow(deal, f"{ENTRIES}, file int")
+    return write_index(own.unionByName(entries_of(again, copies, shard_chunks, generation, bounds)), path, copies)
 
 
 # search ----------------------------------------------------------------------------------------
