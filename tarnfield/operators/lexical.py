@@ -42,9 +42,9 @@ from tarnfield.scratch import drop_path, scratch_path
 
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 #: Chunks of a shard, at most, and index tokens from which one ends early.
-SHARD_CHUNKS, SHARD_TOKENS = 16384, 8_000_000
-#: Queries whose expressions are broadcast at once.
-BLOCK_QUERIES = 2000
+SHARD_CHUNKS, SHARD_TOKENS = 16384, 1_500_000
+#: Queries whose expressions are broadcast at once, and up to how many their hits come to the driver to be ranked.
+BLOCK_QUERIES, NEAR_QUERIES = 10_000, 500
 #: Up to so many terms are looked up in the entries by value; more are joined.
 PRUNED_TERMS = 200
 #: Hits up to this number come to the driver to be ranked; more are ranked by a shuffle.
@@ -247,9 +247,9 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
             if not len(values):
                 continue
             coded = values.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            place = np.arange(len(values)) - offsets[owner]
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+            owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+            place = (np.arange(len(values)) - offsets[owner]).astype(np.int32)
             order = np.argsort(codes, kind="stable")  # by term, then chunk, then place
             codes, owner, place = codes[order], owner[order], place[order]
             new_post = np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])
@@ -689,14 +689,16 @@ def search_index(queries: DataFrame, index: Index, k: int | None = None, within:
     """query_id, chunk_id, doc_id, raw (negative, lower is better) of all hits, or of the k best with their ``rank``.
 
     Ranks go by the raw score rounded to ten places, then chunk_id. With a k the search
-    runs at once: what may be among the k best comes to the driver, up to ``NAMED_HITS``
-    rows for a block of queries; if there are more, hits are ranked and named by shuffles.
+    of up to ``NEAR_QUERIES`` queries runs at once: what may be among their k best comes to
+    the driver, up to ``NAMED_HITS`` rows; more hits, and those of more queries, are ranked
+    and named by shuffles.
     Without a k the hits are a plan, in which chunks get their names by a join.
     """
     kind, out = queries.schema["query_id"].dataType, None
     for ids, asked in _blocks(queries):
         known = term_frequencies(index, {p for q in asked for p in q.phrases})
-        if k is not None and (hits := _near(index, asked, known, k, within) if asked else []) is not None:
+        few = k is not None and len(asked) <= NEAR_QUERIES
+        if few and (hits := _near(index, asked, known, k, within) if asked else []) is not None:
             part = index.spark.createDataFrame([(ids[q], *rest) for q, *rest in _ranked(hits, k)], _hit_type(kind))
         else:
             named = _places(index, asked, known, k, within).join(index.named(), ["shard", "ord"])

@@ -73,7 +73,7 @@ def test_index_equals_scan(spark, tmp_path, shard, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     top = {(q, n): c for q in {q for q, _ in want} for n, (_, c) in enumerate(sorted((round(v, 10), c) for (p, c), v in want.items() if p == q)[:4], 1)}
     # in one pass with names, in one pass and a lookup, by shuffles, with queries block by block, with terms joined
-    for changed in ({}, {"NAMED_CHUNKS": 0}, {"NAMED_HITS": 0}, {"BLOCK_QUERIES": 5}, {"PRUNED_TERMS": 0}):
+    for changed in ({}, {"NAMED_CHUNKS": 0}, {"NAMED_HITS": 0}, {"BLOCK_QUERIES": 5}, {"NEAR_QUERIES": 3}, {"PRUNED_TERMS": 0}):
         with monkeypatch.context() as m:
             for name, value in changed.items():
                 m.setattr(L, name, value)
