@@ -55,7 +55,8 @@ NAMED_CHUNKS = 1_000_000
 BODY, HEADING, NAMES, ALLOWED = 0, 1, 2, 3
 FIELDS = {"text": (BODY,), "heading_path": (HEADING,)}
 
-ENTRIES = "term string, shard long, field int, n int, cf long, ords array<int>, tfs array<int>, dls array<int>, positions array<int>, chunk_ids array<string>, doc_ids array<string>"
+#: ``data`` holds 32-bit numbers, one list after another: the n chunks' places in the shard, their term counts, their lengths, and the cf positions.
+ENTRIES = "term string, shard long, field int, n int, cf long, data binary, chunk_ids array<string>, doc_ids array<string>"
 
 
 # queries ---------------------------------------------------------------------------------------
@@ -217,7 +218,8 @@ class Index:
 
 def bounds_of(entries: DataFrame, files: int) -> list[tuple[int, str]]:
     """Keys (field, term) at which the next file begins, by the size of a sample's entries; a key stands as often as it would fill a file."""
-    got = entries.select("field", "term", F.greatest("cf", F.col("n").cast("long")).alias("w")).groupBy("field", "term").agg(F.sum("w").alias("w")).toArrow().sort_by([("field", "ascending"), ("term", "ascending")])
+    # a row costs about as much as a dozen of the numbers in it
+    got = entries.select("field", "term", (F.col("cf") + 3 * F.col("n") + 12).alias("w")).groupBy("field", "term").agg(F.sum("w").alias("w")).toArrow().sort_by([("field", "ascending"), ("term", "ascending")])
     if not got.num_rows or files < 2:
         return []
     ends = np.cumsum(got.column("w").to_numpy())
@@ -256,23 +258,26 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
             at = np.flatnonzero(new_post)
             tfs = np.diff(np.concatenate([at, [len(codes)]]))
             terms_at = np.flatnonzero(np.concatenate([[True], codes[at][1:] != codes[at][:-1]]))
-            post_ends = np.concatenate([terms_at, [len(at)]]).astype(np.int32)
-            pos_ends = np.concatenate([at[terms_at], [len(codes)]]).astype(np.int32)
-            listed = lambda v, ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32)))
+            post_ends = np.concatenate([terms_at, [len(at)]])
+            pos_ends = np.concatenate([at[terms_at], [len(codes)]])
             names = coded.dictionary.take(pa.array(codes[at][terms_at]))
-            size = len(names)
-            whole = {
-                "term": names, "shard": pa.array([shard] * size, pa.int64()), "field": pa.array([field_] * size, pa.int32()), "n": pa.array(np.diff(post_ends)), "cf": pa.array(np.diff(pos_ends).astype(np.int64)),
-                "ords": listed(owner[at], post_ends), "tfs": listed(tfs, post_ends), "dls": listed(dl[owner[at]], post_ends), "positions": listed(place, pos_ends), "chunk_ids": pa.nulls(size, pa.list_(pa.string())), "doc_ids": pa.nulls(size, pa.list_(pa.string())),
-            }
+            size, n, cf = len(names), np.diff(post_ends), np.diff(pos_ends)
+            base = np.concatenate([[0], np.cumsum(3 * n + cf)])
+            data = np.empty(base[-1], dtype="<i4")
+            row = np.repeat(np.arange(size), n)
+            to = base[row] + np.arange(len(row)) - post_ends[row]
+            for k, values_ in enumerate((owner[at], tfs, dl[owner[at]])):
+                data[to + k * n[row]] = values_
+            row = np.repeat(np.arange(size), cf)
+            data[base[row] + 3 * n[row] + np.arange(len(row)) - pos_ends[row]] = place
+            blobs = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((4 * base).astype(np.int32)), pa.py_buffer(data)])
+            none = pa.nulls(size, pa.list_(pa.string()))
+            whole = {"term": names, "shard": pa.array([shard] * size, pa.int64()), "field": pa.array([field_] * size, pa.int32()), "n": pa.array(n.astype(np.int32)), "cf": pa.array(cf.astype(np.int64)), "data": blobs, "chunk_ids": none, "doc_ids": none}
             batch = pa.RecordBatch.from_pydict(whole)
             for k in range(0, size, 4096):
                 yield batch.slice(k, 4096)
-        none = pa.nulls(1, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_pydict({
-            "term": pa.array([""]), "shard": pa.array([shard], pa.int64()), "field": pa.array([NAMES], pa.int32()), "n": pa.array([table.num_rows], pa.int32()), "cf": pa.array([int(dl.sum())], pa.int64()), "ords": none, "tfs": none,
-            "dls": pa.array([dl.tolist()], pa.list_(pa.int32())), "positions": none, "chunk_ids": pa.array([table.column("chunk_id").to_pylist()], pa.list_(pa.string())), "doc_ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.string())),
-        })
+        ids = [pa.array([table.column(c).to_pylist()], pa.list_(pa.string())) for c in ("chunk_id", "doc_id")]
+        yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "shard": pa.array([shard], pa.int64()), "field": pa.array([NAMES], pa.int32()), "n": pa.array([table.num_rows], pa.int32()), "cf": pa.array([int(dl.sum())], pa.int64()), "data": pa.nulls(1, pa.binary()), "chunk_ids": ids[0], "doc_ids": ids[1]})
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows_, tokens, number = [], 0, 0, 0
@@ -438,28 +443,29 @@ def _shards(batches: Iterator[pa.RecordBatch], copies: int) -> Iterator[tuple[in
     shard, own = None, None
     for batch in batches:
         numbers, fields, terms = (batch.column(c).to_pylist() for c in ("shard", "field", "term"))
-        lists = {}
-        for c in ("ords", "tfs", "dls", "positions"):
-            column = batch.column(c)
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            lists[c] = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+        sizes, blobs = batch.column("n").to_pylist(), batch.column("data")
         for k, number in enumerate(numbers):
             if number != shard:
                 if own is not None:
                     yield shard, own
                 shard, own = number, Shard(copies)
-            part = [v[e[k] : e[k + 1]] for v, e in lists.values()]
             if fields[k] == NAMES:
                 own.names = [batch.column(c)[k].as_py() for c in ("chunk_ids", "doc_ids")]
             elif fields[k] == ALLOWED:  # chunks that a filter lets through
-                own.allowed = np.sort(part[0])
+                own.allowed = np.sort(np.array(batch.column("ords")[k].as_py(), dtype=np.int64))
             else:
-                own.add(fields[k], terms[k], *part)
+                lists, n = np.frombuffer(blobs[k].as_buffer(), dtype="<i4").astype(np.int64), sizes[k]
+                own.add(fields[k], terms[k], lists[:n], lists[n : 2 * n], lists[2 * n : 3 * n], lists[3 * n :])
     if own is not None:
         yield shard, own
 
 
-ASKED = ("shard", "field", "term", "ords", "tfs", "dls", "positions", "chunk_ids", "doc_ids")
+ASKED = ("shard", "field", "term", "n", "data", "chunk_ids", "doc_ids", "ords")
+
+
+def _shaped(entries: DataFrame) -> DataFrame:
+    """Entries with a column for the places that a filter lets through."""
+    return entries.withColumn("ords", F.lit(None).cast("array<int>")).select(*ASKED)
 
 
 def _asked(index: Index, phrases: set[Phrase]) -> DataFrame:
@@ -467,7 +473,7 @@ def _asked(index: Index, phrases: set[Phrase]) -> DataFrame:
     exact = {t for p in phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)}
     starts = {p.tokens[-1] for p in phrases if p.prefix}
     fields = sorted({f for p in phrases for f in p.fields})
-    wanted = index.entries.where(F.col("field").isin(fields)).select(*ASKED)
+    wanted = _shaped(index.entries.where(F.col("field").isin(fields)))
     if len(exact) + len(starts) <= PRUNED_TERMS:
         tests = [F.col("term") == t for t in sorted(exact)] + [F.col("term").startswith(t) for t in sorted(starts)]
         return wanted.where(reduce(or_, tests) if tests else F.lit(False))
@@ -527,12 +533,12 @@ def _dealt(index: Index, phrases: set[Phrase], within: DataFrame | None, names:
     """Entries of the phrases' terms shard by shard, with the chunks that pass a filter and, if asked, the chunks' names."""
     rows = _asked(index, phrases)
     if names:
-        rows = rows.unionByName(index.entries.where(F.col("field") == NAMES).select(*ASKED))
+        rows = rows.unionByName(_shaped(index.entries.where(F.col("field") == NAMES)))
     if within is not None:
         ok = within.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
         passed = index.named().join(ok, "doc_id", "left_semi").groupBy("shard").agg(F.collect_list("ord").alias("ords"))
-        none = {c: F.lit(None).cast("array<int>") for c in ("tfs", "dls", "positions")} | {c: F.lit(None).cast("array<string>") for c in ("chunk_ids", "doc_ids")}
-        rows = rows.unionByName(passed.withColumns({"field": F.lit(ALLOWED), "term": F.lit("")} | none).select(*ASKED))
+        none = {c: F.lit(None).cast("array<string>") for c in ("chunk_ids", "doc_ids")} | {"data": F.lit(None).cast("binary")}
+        rows = rows.unionByName(passed.withColumns({"field": F.lit(ALLOWED), "term": F.lit(""), "n": F.size("ords")} | none).select(*ASKED))
     return rows.repartition("shard").sortWithinPartitions("shard")
 
 
