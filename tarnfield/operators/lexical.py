@@ -31,6 +31,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,8 +42,8 @@ from tarnfield.functions import text as T
 from tarnfield.scratch import drop_path, scratch_path
 
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
-#: Chunks of a shard, at most, and index tokens from which one ends early.
-SHARD_CHUNKS, SHARD_TOKENS = 16384, 1_500_000
+#: Chunks of a shard, at most, and bytes of index tokens from which one ends early.
+SHARD_CHUNKS, SHARD_BYTES = 16384, 8 << 20
 #: Queries whose expressions are broadcast at once, and up to how many their hits come to the driver to be ranked.
 BLOCK_QUERIES, NEAR_QUERIES = 10_000, 500
 #: Up to so many terms are looked up in the entries by value; more are joined.
@@ -238,8 +239,9 @@ def _with_file(batch: pa.RecordBatch, bounds: list[tuple[int, str]]) -> pa.Recor
 
 def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS, generation: int = 0, bounds: list[tuple[int, str]] | None = None) -> DataFrame:
     """Index entries of chunks (chunk_id, doc_id, text, maybe heading_path), each task making shards of its own; with ``bounds``, also the file each goes to."""
-    heads = T.tokens(F.concat_ws(" ", "heading_path")) if "heading_path" in chunks.columns else F.array().cast("array<string>")
-    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), T.tokens(F.col("text")).alias("body"), heads.alias("head"))
+    # tokens hold no spaces: joined by them they travel as one string
+    heads = F.array_join(T.tokens(F.concat_ws(" ", "heading_path")), " ") if "heading_path" in chunks.columns else F.lit("")
+    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.array_join(T.tokens(F.col("text")), " ").alias("body"), heads.alias("head"))
 
     def shard_of(table: pa.Table, shard: int) -> Iterator[pa.RecordBatch]:
         table = table.sort_by([("chunk_id", "ascending"), ("doc_id", "ascending")]).combine_chunks()
@@ -280,16 +282,16 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
         yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "shard": pa.array([shard], pa.int64()), "field": pa.array([NAMES], pa.int32()), "n": pa.array([table.num_rows], pa.int32()), "cf": pa.array([int(dl.sum())], pa.int64()), "data": pa.nulls(1, pa.binary()), "chunk_ids": ids[0], "doc_ids": ids[1]})
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows_, tokens, number = [], 0, 0, 0
+        held, rows_, used, number = [], 0, 0, 0
         base, step = generation << 44 | TaskContext.get().partitionId() << 20, min(1024, shard_chunks)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 held.append(batch.slice(at, step))
                 rows_ += held[-1].num_rows
-                tokens += len(held[-1].column("body").flatten())
-                if rows_ >= shard_chunks or tokens >= SHARD_TOKENS:
+                used += held[-1].column("body").nbytes
+                if rows_ >= shard_chunks or used >= SHARD_BYTES:
                     yield from shard_of(pa.Table.from_batches(held), base | number)
-                    held, rows_, tokens, number = [], 0, 0, number + 1
+                    held, rows_, used, number = [], 0, 0, number + 1
         if held:
             yield from shard_of(pa.Table.from_batches(held), base | number)
 
@@ -301,11 +303,14 @@ def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHAR
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """Values and offsets of a list column; a null list is empty."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    """Tokens of a column of joined tokens, and where each row's begin."""
+    joined = pa.concat_arrays(column.chunks)
+    lists = pc.split_pattern(joined, " ")
+    sizes = np.where(pc.binary_length(joined).to_numpy(zero_copy_only=False) > 0, np.diff(lists.offsets.to_numpy()), 0)
+    tokens = lists.flatten()
+    if (sizes == 0).any():  # no tokens split into one empty one
+        tokens = tokens.filter(pc.greater(pc.binary_length(tokens), 0))
+    return tokens, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def write_index(entries: DataFrame, path: str, body_copies: int) -> Index:
