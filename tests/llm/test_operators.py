@@ -375,6 +375,34 @@ def test_repeated_labelled_ids_count_once(spark):
     assert classifier.fit(docs, labels).layers is not None and quality_rules.fit_forests(docs, labels) is not None
 
 
+def test_all_labelled_rows_make_forests_and_thresholds(spark):
+    """With 9000 labelled ids each tree draws among all of them, and the thresholds are quantiles over all clean ones."""
+    rng = random.Random(5)
+    texts = [" ".join("ab#cdefgh"[: rng.randrange(1, 10)] for _ in range(rng.randrange(10, 16))) for _ in range(9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(9000)], "doc_id long, quality int")
+    stats = np.array([quality_rules.stats_of(t.encode()) for t in texts])
+    passed = np.flatnonzero(~quality_rules.base_failed(stats))
+    features = quality_rules.features_of(stats)
+    keys = quality_rules.draw_keys(passed, quality_rules.TREES * len(quality_rules.VIEWS))
+    forests = quality_rules.fit_forests(docs, labels)
+    assert [f.columns for f in forests] == [(0,), (1,), (0, 1, 2, 3)]  # no line or window is repeated where the plain rules pass
+    for f in forests:
+        k = quality_rules.VIEWS.index(f.columns)
+        drawn = [features[passed[np.argsort(keys[:, t])[: quality_rules.SUBSAMPLE]]][:, f.columns] for t in range(k * quality_rules.TREES, (k + 1) * quality_rules.TREES)]
+        assert np.array_equal(quality_rules.Forest.fit(drawn, quality_rules.SEED + k).cut, f.cut)
+        want = np.quantile(f.scores(features[passed[passed % 4 > 0]][:, f.columns]), quality_rules.KEEP) + quality_rules.MARGIN
+        assert abs(want - f.threshold) < 1e-9
+
+
+def test_quantiles_of_many_rows_are_exact(spark):
+    """Beyond FEW_ROWS only scores near the quantile are collected, ties and all."""
+    rows = spark.range(30000, numPartitions=5).selectExpr("cast(xxhash64(id) % 100003 as double) / 7 as a", "cast(id % 3 as double) as b", "0.5 as c").selectExpr("a", "b", "cast(c as double) as c")
+    got = rows.toPandas()
+    for q in (0.999, 0.5, 0.0, 1.0):
+        assert np.allclose(quality_rules.exact_quantiles(rows, 30000, q), [np.quantile(got[c], q) for c in got], rtol=0, atol=1e-9)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 def plain_score(model, text):
     """The score of a text from a fitted model, token by token."""
