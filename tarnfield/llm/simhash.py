@@ -307,31 +307,32 @@ def find_links(fps: DataFrame) -> DataFrame:
 def connect(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, a scratch table: alternating large and small stars until nothing changes."""
 
-    def large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # a large star has a row at most for each edge before it, a small star two
+    def large(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * n)
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least, n
 
-    def small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        least = scratch(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    def small(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+        least = scratch(edges.groupBy("u").agg(F.min("v").alias("m")), "least", n)
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
+        return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least, 2 * n
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    edges = scratch(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
+    edges = scratch(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars", links.count())
     before, after = None, state(edges)
     while after[0] and after != before:
-        before, gone = after, [edges]
+        before, gone, n = after, [edges], after[0]
         for star in (large, small):
-            fresh_edges, least = star(edges)
-            edges = scratch(fresh_edges, "stars")
+            fresh_edges, least, n = star(edges, n)
+            edges = scratch(fresh_edges, "stars", n)
             gone += [least, edges]
         drop_scratch(*gone[:-1])
         after = state(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    out = scratch(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "linked")
+    out = scratch(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "linked", 2 * after[0])
     drop_scratch(edges)
     return out
 
@@ -351,13 +352,15 @@ def components(rows: DataFrame) -> DataFrame:
 
     Where doc_ids repeat, components may share a component_id, but never a root.
     """
+    # a file for each shuffle partition: find_links makes 96 rows of each of these
     distinct = scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    n = distinct.count()
     links = find_links(distinct)
     linked = connect(links)
-    named = scratch(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    named = scratch(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots", n)
     # written before the join, as in connect: a component may hold any share of the fingerprints, a fingerprint any of the rows
-    lowest = scratch(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    by_fp = scratch(named.join(lowest, "root").select("fp", "root", "component_id"), "components")
+    lowest = scratch(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids", n)
+    by_fp = scratch(named.join(lowest, "root").select("fp", "root", "component_id"), "components", n)
     drop_scratch(distinct, links, linked, named, lowest)
     return rows.join(by_fp, "fp")
 
@@ -388,7 +391,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({id0: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull()})
 
-    kept = scratch(keyed(kept).drop("doc_id").join(keyed(counted).drop("doc_id"), keys), "kept")
+    kept = scratch(keyed(kept).drop("doc_id").join(keyed(counted).drop("doc_id"), keys), "kept", rows.count())
     marked = keyed(docs.withColumn(mark, own_mark))
     single = marked.join(kept.where(F.col(times) == 1).drop(times), keys, "left_semi")
     # the second branch is for repeated rows alone; in most corpora its list is empty or small

@@ -80,10 +80,21 @@ def sweep_scratch(spark: SparkSession, hours: float = 72) -> list[str]:
     return old
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here."""
+#: A table of narrow rows gets a file for each so many.
+FILE_ROWS = 1 << 16
+
+
+def scratch(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends here.
+
+    Where the caller knows how many rows of a few numbers there are at most, files follow
+    the rows and not the shuffle partitions: each file costs a commit and, on a local
+    folder without Hadoop's native library, two child processes that set its permissions.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._scratch = path

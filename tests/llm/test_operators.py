@@ -570,6 +570,41 @@ def test_components_equal_brute_force(spark, block, monkeypatch):
     assert got == Counter(zip(ids, fps, brute_components(fps, ids), strict=True))
 
 
+@pytest.mark.parametrize("file_rows", [1 << 16, 20])
+def test_component_tables_have_files_by_rows(spark, file_rows, monkeypatch):
+    """Not one for each shuffle partition: every file starts processes on a local folder."""
+    rng, fps, made, write = random.Random(4), [], [], simhash.scratch
+    for _ in range(25):
+        at = rng.getrandbits(63)
+        for _ in range(6):
+            fps.append(at)
+            at ^= 1 << rng.randrange(63) | 1 << rng.randrange(63)
+
+    def counted(df, name, *most):
+        kept = write(df, name, *most)
+        made.append((name, len(kept.inputFiles()), kept.count(), most))
+        return kept
+
+    monkeypatch.setattr(simhash, "scratch", counted)
+    monkeypatch.setattr("tarnfield.scratch.FILE_ROWS", file_rows)
+    hot = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long").coalesce(2)
+        got = Counter((r.doc_id, r.fp, r.component_id) for r in simhash.components(rows).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == Counter(zip(range(len(fps)), fps, brute_components(fps, list(range(len(fps)))), strict=True))
+    narrow = [x for x in made if x[0] not in ("distinct-fingerprints", "links", "all-links")]
+    assert {x[0] for x in narrow} == {"stars", "least", "linked", "roots", "component-ids", "components"}
+    for name, files, n, most in narrow:
+        assert n <= most[0] and files <= max(1, -(-most[0] // file_rows)), (name, files, n, most)
+    assert file_rows > 1000 or max(x[1] for x in narrow) > 1
+
+
 def test_near_duplicates(docs, no_docs):
     fps = [brute_fingerprint(r[1]) for r in DOCS]
     want = Counter((r[0], f"{f:016x}", c) for r, f, c in zip(DOCS, fps, brute_components(fps, [r[0] for r in DOCS]), strict=True))
