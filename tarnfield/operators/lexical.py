@@ -2,9 +2,10 @@
 
 The index is one Parquet table of entries. Chunks are taken in shards of up to
 ``SHARD_CHUNKS``; a shard has one row for each of its terms, with the chunks' places in the
-shard, their term counts, lengths and positions, and one row that names its chunks. Entries
-are sorted by term, so a search reads the row groups of its own terms and no text. Beside
-them stand the terms with their document frequencies and one row of statistics.
+shard, their term counts, lengths and positions, and one row that names its chunks. A task
+writes the shards it makes one after another, each sorted by term, so no entry crosses the
+network or is sorted by Spark, and a search reads the pages of its own terms and no text.
+Beside them stand the terms with their document frequencies and one row of statistics.
 
 A search deals the entries of its terms out by shard. A task evaluates all queries of a
 block on its shard with numpy and keeps, where a top k is asked, the k best of each query;
@@ -23,10 +24,11 @@ and its words count once where they are the same. A word without index tokens as
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import count
 from operator import or_
 
 import numpy as np
@@ -217,108 +219,135 @@ class Index:
         return rows.select("shard", "ord", "c.chunk_ids", "c.doc_ids").toDF("shard", "ord", "chunk_id", "doc_id")
 
 
-def bounds_of(entries: DataFrame, files: int) -> list[tuple[int, str]]:
-    """Keys (field, term) at which the next file begins, by the size of a sample's entries; a key stands as often as it would fill a file."""
-    # a row costs about as much as a dozen of the numbers in it
-    got = entries.select("field", "term", (F.col("cf") + 3 * F.col("n") + 12).alias("w")).groupBy("field", "term").agg(F.sum("w").alias("w")).toArrow().sort_by([("field", "ascending"), ("term", "ascending")])
-    if not got.num_rows or files < 2:
-        return []
-    ends = np.cumsum(got.column("w").to_numpy())
-    at = np.searchsorted(ends, ends[-1] * np.arange(1, files) / files)
-    return list(zip(got.column("field").take(pa.array(at)).to_pylist(), got.column("term").take(pa.array(at)).to_pylist(), strict=True))
+#: Bytes of an Arrow batch that goes to Python while an index is built.
+BATCH_BYTES = 8 << 20
 
 
-def _with_file(batch: pa.RecordBatch, bounds: list[tuple[int, str]]) -> pa.RecordBatch:
-    """The number of the file that each entry goes to; entries of a key that fills several take turns by shard."""
-    out = []
-    for field_, term, shard in zip(batch.column("field").to_pylist(), batch.column("term").to_pylist(), batch.column("shard").to_pylist(), strict=True):
-        low, high = bisect_left(bounds, (field_, term)), bisect_right(bounds, (field_, term))
-        out.append(low + shard * 0x9E3779B97F4A7C15 % 2**64 % (high - low + 1) if high > low else low)
-    return batch.append_column("file", pa.array(out, pa.int32()))
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside sends batches of ``BATCH_BYTES`` to Python, unless the session says how large they are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
 
 
-def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS, generation: int = 0, bounds: list[tuple[int, str]] | None = None) -> DataFrame:
-    """Index entries of chunks (chunk_id, doc_id, text, maybe heading_path), each task making shards of its own; with ``bounds``, also the file each goes to."""
+def _pieces(batches: Iterator[pa.RecordBatch], shard_chunks: int) -> Iterator[pa.Table]:
+    """The rows of a shard, time after time; what waits for the next batch is copied, so that no slice keeps a whole batch."""
+    held, rows, used, step = [], 0, 0, min(1024, shard_chunks)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            rows += held[-1].num_rows
+            used += held[-1].column("body").nbytes
+            if rows >= shard_chunks or used >= SHARD_BYTES:
+                full, held, rows, used = pa.Table.from_batches(held), [], 0, 0
+                yield full
+                del full
+        whole = range(max(0, len(held) - -(-batch.num_rows // step)), len(held))
+        for k in whole:
+            held[k] = held[k].take(pa.array(np.arange(held[k].num_rows)))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def entries_of(chunks: DataFrame, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS, generation: int = 0) -> DataFrame:
+    """Index entries of chunks (chunk_id, doc_id, text, maybe heading_path), each task making shards of its own, sorted by field and term."""
     # tokens hold no spaces: joined by them they travel as one string
     heads = F.array_join(T.tokens(F.concat_ws(" ", "heading_path")), " ") if "heading_path" in chunks.columns else F.lit("")
     rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.array_join(T.tokens(F.col("text")), " ").alias("body"), heads.alias("head"))
 
     def shard_of(table: pa.Table, shard: int) -> Iterator[pa.RecordBatch]:
         table = table.sort_by([("chunk_id", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        lists = [_flat(table.column(c)) for c in ("body", "head")]
-        dl = (np.diff(lists[0][1]) * body_copies + np.diff(lists[1][1])).astype(np.int32)
-        for field_, (values, offsets) in enumerate(lists):
-            if not len(values):
+        ids = {c: pa.array([table.column(c).to_pylist()], pa.list_(pa.string())) for c in ("chunk_id", "doc_id")}
+        n_chunks, columns = table.num_rows, [table.column(c) for c in ("body", "head")]
+        del table
+        ends = [np.concatenate([[0], np.cumsum(_sizes(c))]) for c in columns]
+        dl = (np.diff(ends[0]) * body_copies + np.diff(ends[1])).astype(np.int32)
+        for field_ in (BODY, HEADING):
+            offsets = ends[field_].astype(np.int32)
+            if not offsets[-1]:
                 continue
-            coded = values.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-            owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-            place = (np.arange(len(values)) - offsets[owner]).astype(np.int32)
-            order = np.argsort(codes, kind="stable")  # by term, then chunk, then place
-            codes, owner, place = codes[order], owner[order], place[order]
+            coded = _flat(columns[field_]).dictionary_encode()
+            columns[field_] = None
+            # terms by their bytes, as the files' statistics compare them
+            by_term = pc.sort_indices(coded.dictionary)
+            names, rank = coded.dictionary.take(by_term), np.empty(len(by_term), dtype=np.int32)
+            rank[by_term.to_numpy()] = np.arange(len(rank), dtype=np.int32)
+            codes = rank[coded.indices.to_numpy()]
+            del coded, by_term, rank
+            order = np.argsort(codes, kind="stable").astype(np.int32)  # by term, then chunk, then place
+            codes = codes[order]
+            owner = np.repeat(np.arange(n_chunks, dtype=np.int32), np.diff(offsets))
+            place = (order - offsets[owner[order]]).astype(np.int32)
+            owner = owner[order]
+            del order
             new_post = np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])
-            at = np.flatnonzero(new_post)
-            tfs = np.diff(np.concatenate([at, [len(codes)]]))
+            at = np.flatnonzero(new_post).astype(np.int32)
+            tfs = np.diff(at, append=np.int32(len(codes)))
             terms_at = np.flatnonzero(np.concatenate([[True], codes[at][1:] != codes[at][:-1]]))
-            post_ends = np.concatenate([terms_at, [len(at)]])
-            pos_ends = np.concatenate([at[terms_at], [len(codes)]])
-            names = coded.dictionary.take(pa.array(codes[at][terms_at]))
+            post_ends = np.concatenate([terms_at, [len(at)]]).astype(np.int32)
+            pos_ends = np.concatenate([at[terms_at], [len(codes)]]).astype(np.int32)
+            owner = owner[at]
+            del codes, new_post, at, terms_at
             size, n, cf = len(names), np.diff(post_ends), np.diff(pos_ends)
-            base = np.concatenate([[0], np.cumsum(3 * n + cf)])
+            base = np.concatenate([[0], np.cumsum(3 * n.astype(np.int64) + cf)])
             data = np.empty(base[-1], dtype="<i4")
-            row = np.repeat(np.arange(size), n)
-            to = base[row] + np.arange(len(row)) - post_ends[row]
-            for k, values_ in enumerate((owner[at], tfs, dl[owner[at]])):
-                data[to + k * n[row]] = values_
-            row = np.repeat(np.arange(size), cf)
-            data[base[row] + 3 * n[row] + np.arange(len(row)) - pos_ends[row]] = place
+            # where each list begins, less the postings or positions of the terms before it
+            to = np.repeat((base[:-1] - post_ends[:-1]).astype(np.int32), n) + np.arange(len(owner), dtype=np.int32)
+            step = np.repeat(n, n)
+            for values in (owner, tfs, dl[owner]):
+                data[to] = values
+                to += step
+            del owner, tfs, values, to, step
+            to = np.repeat((base[:-1] + 3 * n - pos_ends[:-1]).astype(np.int32), cf) + np.arange(len(place), dtype=np.int32)
+            data[to] = place
+            del to, place
             blobs = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((4 * base).astype(np.int32)), pa.py_buffer(data)])
             none = pa.nulls(size, pa.list_(pa.string()))
-            whole = {"term": names, "shard": pa.array([shard] * size, pa.int64()), "field": pa.array([field_] * size, pa.int32()), "n": pa.array(n.astype(np.int32)), "cf": pa.array(cf.astype(np.int64)), "data": blobs, "chunk_ids": none, "doc_ids": none}
+            whole = {"term": names, "shard": pa.array(np.full(size, shard)), "field": pa.array(np.full(size, field_, dtype=np.int32)), "n": pa.array(n.astype(np.int32)), "cf": pa.array(cf.astype(np.int64)), "data": blobs, "chunk_ids": none, "doc_ids": none}
             batch = pa.RecordBatch.from_pydict(whole)
+            del data, blobs, whole, names
             for k in range(0, size, 4096):
                 yield batch.slice(k, 4096)
-        ids = [pa.array([table.column(c).to_pylist()], pa.list_(pa.string())) for c in ("chunk_id", "doc_id")]
-        yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "shard": pa.array([shard], pa.int64()), "field": pa.array([NAMES], pa.int32()), "n": pa.array([table.num_rows], pa.int32()), "cf": pa.array([int(dl.sum())], pa.int64()), "data": pa.nulls(1, pa.binary()), "chunk_ids": ids[0], "doc_ids": ids[1]})
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows_, used, number = [], 0, 0, 0
-        base, step = generation << 44 | TaskContext.get().partitionId() << 20, min(1024, shard_chunks)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                held.append(batch.slice(at, step))
-                rows_ += held[-1].num_rows
-                used += held[-1].column("body").nbytes
-                if rows_ >= shard_chunks or used >= SHARD_BYTES:
-                    yield from shard_of(pa.Table.from_batches(held), base | number)
-                    held, rows_, used, number = [], 0, 0, number + 1
-        if held:
-            yield from shard_of(pa.Table.from_batches(held), base | number)
+            del batch
+        yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "shard": pa.array([shard], pa.int64()), "field": pa.array([NAMES], pa.int32()), "n": pa.array([n_chunks], pa.int32()), "cf": pa.array([int(dl.sum())], pa.int64()), "data": pa.nulls(1, pa.binary()), "chunk_ids": ids["chunk_id"], "doc_ids": ids["doc_id"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches):
-            yield batch if bounds is None else _with_file(batch, bounds)
+        base = generation << 44 | TaskContext.get().partitionId() << 20
+        pieces = _pieces(batches, shard_chunks)
+        for number in count():
+            if (piece := [next(pieces, None)])[0] is None:
+                break
+            yield from shard_of(piece.pop(), base | number)
+            pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, ENTRIES if bounds is None else f"{ENTRIES}, file int")
+    return rows.mapInArrow(run, ENTRIES)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """Tokens of a column of joined tokens, and where each row's begin."""
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    """How many tokens each row of joined tokens has."""
     joined = pa.concat_arrays(column.chunks)
-    lists = pc.split_pattern(joined, " ")
-    sizes = np.where(pc.binary_length(joined).to_numpy(zero_copy_only=False) > 0, np.diff(lists.offsets.to_numpy()), 0)
-    tokens = lists.flatten()
-    if (sizes == 0).any():  # no tokens split into one empty one
-        tokens = tokens.filter(pc.greater(pc.binary_length(tokens), 0))
-    return tokens, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return np.where(pc.binary_length(joined).to_numpy(zero_copy_only=False) > 0, pc.count_substring(joined, " ").to_numpy(zero_copy_only=False) + 1, 0)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    """Tokens of a column of joined tokens."""
+    tokens = pc.split_pattern(pa.concat_arrays(column.chunks), " ").flatten()
+    some = pc.greater(pc.binary_length(tokens), 0)
+    return tokens if pc.all(some).as_py() else tokens.filter(some)  # no tokens split into one empty one
 
 
 def write_index(entries: DataFrame, path: str, body_copies: int) -> Index:
-    """Writes dealt entries, terms and statistics to a new folder; one exchange puts the entries in order of their terms."""
+    """Writes entries as they come, terms and statistics to a new folder."""
     spark = entries.sparkSession
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartitionById(files, F.col("file")).drop("file").sortWithinPartitions("field", "term", "shard")
-    ordered.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1000).option("compression", "zstd").parquet(f"{path}/entries")
+    with _small_batches(spark):
+        entries.write.option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1000).option("compression", "zstd").parquet(f"{path}/entries")
     own = Index(spark, path)
     body = own.entries.where(F.col("field") == BODY).groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
     body.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/terms")
@@ -327,15 +356,9 @@ def write_index(entries: DataFrame, path: str, body_copies: int) -> Index:
     return own
 
 
-#: Chunks whose entries tell where files begin; their terms come to the driver.
-SAMPLED_CHUNKS = 2000
-
-
 def build_index(chunks: DataFrame, path: str, body_copies: int = 2, shard_chunks: int = SHARD_CHUNKS) -> Index:
-    """The index of all chunks in a new folder. Texts are tokenised once; a sample of them is, too, to tell where files begin."""
-    some = chunks.sample(min(1.0, SAMPLED_CHUNKS / max(chunks.count(), 1)), seed=5)
-    bounds = bounds_of(entries_of(some, body_copies), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return write_index(entries_of(chunks, body_copies, shard_chunks, 0, bounds), path, body_copies)
+    """The index of all chunks in a new folder, by one pass over the texts."""
+    return write_index(entries_of(chunks, body_copies, shard_chunks), path, body_copies)
 
 
 def update_index(index: Index, chunks: DataFrame, changed: DataFrame, path: str, shard_chunks: int = SHARD_CHUNKS) -> Index:
@@ -352,19 +375,11 @@ def update_index(index: Index, chunks: DataFrame, changed: DataFrame, path: str,
     left = named.join(hit, "shard", "left_semi").join(gone, "doc_id", "left_anti").select(F.col("chunk_id").alias("_c"), F.col("doc_id").alias("_d"))
     text = lambda c: F.col(c).cast("string")
     again = chunks.join(left, (text("chunk_id") == F.col("_c")) & (text("doc_id") == F.col("_d")), "left_semi").unionByName(chunks.join(gone.withColumnRenamed("doc_id", "_d"), text("doc_id") == F.col("_d"), "left_semi"))
-    kept = index.entries.join(hit, "shard", "left_anti")
+    kept = index.entries.join(F.broadcast(hit), "shard", "left_anti")  # a number for each shard; entries stay in their order
     generation = (index.entries.agg(F.max("shard")).first()[0] or 0) // (1 << 44) + 1
     copies = index.stats[2]
-    # what stands in the old files tells where the new ones begin
-    some = index.entries.sample(min(1.0, 50 * SAMPLED_CHUNKS / max(index.entries.count(), 1)), seed=5)
-    bounds = bounds_of(some, int(index.spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _with_file(batch, bounds)
-
-    own = kept.select(*[f.name for f in index.entries.schema]).mapInArrow(deal, f"{ENTRIES}, file int")
-    return write_index(own.unionByName(entries_of(again, copies, shard_chunks, generation, bounds)), path, copies)
+    own = kept.select(*[f.name for f in index.entries.schema])
+    return write_index(own.unionByName(entries_of(again, copies, shard_chunks, generation)), path, copies)
 
 
 # search ----------------------------------------------------------------------------------------
