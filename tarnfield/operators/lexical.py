@@ -389,6 +389,10 @@ class Shard:
     def __init__(self, copies: int) -> None:
         self.copies, self.entries, self.allowed, self.names, self.memo = copies, {}, None, None, {}
 
+    def clear(self) -> None:
+        """Lets go of entries, names and what was found."""
+        self.entries, self.allowed, self.names, self.memo = {}, None, None, {}
+
     def add(self, field_: int, term: str, ords: np.ndarray, tfs: np.ndarray, dls: np.ndarray, positions: np.ndarray) -> None:
         self.entries[field_, term] = ords, tfs, dls, positions
 
@@ -420,7 +424,7 @@ class Shard:
                 continue
             starts = None
             for k, (ords, tfs, _, positions) in sorted(enumerate(own), key=lambda e: len(e[1][3])):
-                at = np.repeat(ords, tfs) << 32 | (positions - k) & 0xFFFFFFFF
+                at = np.repeat(ords.astype(np.int64), tfs) << 32 | (positions.astype(np.int64) - k) & 0xFFFFFFFF
                 starts = at if starts is None else np.intersect1d(starts, at, assume_unique=True)
                 if not len(starts):
                     break
@@ -459,7 +463,7 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], copies: int) -> Iterator[tuple[int, Shard]]:
-    """Shard after shard from rows sorted by shard."""
+    """Shard after shard from rows sorted by shard; a shard is emptied when the next one begins."""
     shard, own = None, None
     for batch in batches:
         numbers, fields, terms = (batch.column(c).to_pylist() for c in ("shard", "field", "term"))
@@ -468,16 +472,19 @@ def _shards(batches: Iterator[pa.RecordBatch], copies: int) -> Iterator[tuple[in
             if number != shard:
                 if own is not None:
                     yield shard, own
+                    own.clear()
                 shard, own = number, Shard(copies)
             if fields[k] == NAMES:
                 own.names = [batch.column(c)[k].as_py() for c in ("chunk_ids", "doc_ids")]
             elif fields[k] == ALLOWED:  # chunks that a filter lets through
                 own.allowed = np.sort(np.array(batch.column("ords")[k].as_py(), dtype=np.int64))
             else:
-                lists, n = np.frombuffer(blobs[k].as_buffer(), dtype="<i4").astype(np.int64), sizes[k]
+                lists, n = np.frombuffer(blobs[k].as_buffer(), dtype="<i4").copy(), sizes[k]
                 own.add(fields[k], terms[k], lists[:n], lists[n : 2 * n], lists[2 * n : 3 * n], lists[3 * n :])
     if own is not None:
         yield shard, own
+        own.clear()
+    pa.default_memory_pool().release_unused()
 
 
 ASKED = ("shard", "field", "term", "n", "data", "chunk_ids", "doc_ids", "ords")
@@ -489,24 +496,32 @@ def _shaped(entries: DataFrame) -> DataFrame:
 
 
 def _asked(index: Index, phrases: set[Phrase]) -> DataFrame:
-    """Entries of the phrases' terms; few terms go to the scan as a filter."""
+    """Entries of the phrases' terms, with positions for the terms of phrases of several tokens; few terms go to the scan as a filter."""
     exact = {t for p in phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)}
     starts = {p.tokens[-1] for p in phrases if p.prefix}
     fields = sorted({f for p in phrases for f in p.fields})
+    several = [p for p in phrases if len(p.tokens) > 1]
+    placed = exact if any(p.prefix for p in several) else {t for p in several for t in p.tokens}
     wanted = _shaped(index.entries.where(F.col("field").isin(fields)))
+    alone = F.substring("data", F.lit(1), 12 * F.col("n"))  # the lists before the positions
     if len(exact) + len(starts) <= PRUNED_TERMS:
         tests = [F.col("term") == t for t in sorted(exact)] + [F.col("term").startswith(t) for t in sorted(starts)]
-        return wanted.where(reduce(or_, tests) if tests else F.lit(False))
-    listed = F.broadcast(_listed(index, exact))  # terms of one block of queries
-    got = wanted.join(listed, "term", "left_semi")
+        got = wanted.where(reduce(or_, tests) if tests else F.lit(False))
+        if any(p.prefix for p in several):
+            return got
+        return got.withColumn("data", F.when(F.col("term").isin(sorted(placed)), F.col("data")).otherwise(alone) if placed else alone)
+    listed = F.broadcast(_listed(index, exact, placed))  # terms of one block of queries
+    got = wanted.join(listed, "term").withColumn("data", F.when(F.col("placed"), F.col("data")).otherwise(alone)).select(*ASKED)
     if starts:
         more = reduce(or_, [F.col("term").startswith(t) for t in sorted(starts)])
         got = got.unionByName(wanted.where(more).join(listed, "term", "left_anti"))
     return got.select(*ASKED)
 
 
-def _listed(index: Index, terms: set[str]) -> DataFrame:
-    return index.spark.createDataFrame(pa.table({"term": pa.array(sorted(terms), pa.string())}), "term string")
+def _listed(index: Index, terms: set[str], placed: set[str] = frozenset()) -> DataFrame:
+    """term, and whether its positions are asked for."""
+    own = sorted(terms)
+    return index.spark.createDataFrame(pa.table({"term": pa.array(own, pa.string()), "placed": pa.array([t in placed for t in own], pa.bool_())}), "term string, placed boolean")
 
 
 def _idf(n: int, df: int) -> float:

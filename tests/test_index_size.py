@@ -21,3 +21,29 @@ def test_entries_are_written_where_they_are_made(spark, tmp_path):
         for _, shard in groupby(rows, lambda r: r["shard"]):
             keys = [(r["field"], r["term"].encode()) for r in shard]
             assert keys == sorted(keys)
+
+
+def test_what_waits_for_a_shard_keeps_no_batch():
+    """Rows left of a batch are copied, so the batch can go while the next one comes."""
+    batch = lambda k: pa.RecordBatch.from_pydict({"chunk_id": [f"{k}-{n}" for n in range(3000)], "body": ["x" * 1000] * 3000})
+    pieces = list(L._pieces(iter([batch(0), batch(1)]), 2500))
+    assert [p.num_rows for p in pieces] == [3000, 3000]
+    pieces = list(L._pieces(iter([batch(0), batch(1)]), 2048))
+    assert [p.num_rows for p in pieces] == [2048, 952 + 1024 + 1024, 952]
+    left = pieces[1].slice(0, 952)
+    assert left.column("chunk_id").to_pylist()[0] == "0-2048" and sum(b.size for b in left.column("body").chunk(0).buffers() if b) < 1_100_000
+    assert sum(p.num_rows for p in L._pieces(iter([batch(0)] * 3), 1 << 20)) == 9000
+
+
+def test_positions_are_asked_for_phrases_alone(spark, tmp_path, monkeypatch):
+    """Terms that stand alone come without positions, by a filter and by a join."""
+    _, chunks = corpus(spark)
+    index = L.build_index(chunks, f"{tmp_path}/ix")
+    phrases = {L.Phrase(("alpha",)), L.Phrase(("go",), prefix=True), L.Phrase(("foo", "bar"))}
+    whole = {r["term"]: r["cf"] for r in index.terms.collect()}
+    for most in (200, 0):
+        monkeypatch.setattr(L, "PRUNED_TERMS", most)
+        rows = L._asked(index, phrases).collect()
+        size = {t: sum(len(r["data"]) - 12 * r["n"] for r in rows if r["term"] == t) for t in ("alpha", "foo", "bar")}
+        assert {r["term"] for r in rows} == {"alpha", "foo", "bar", "go"}
+        assert size == {"alpha": 0, "foo": 4 * whole["foo"], "bar": 4 * whole["bar"]}
