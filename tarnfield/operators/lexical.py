@@ -38,7 +38,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, IntegralType, StringType, StructField, StructType
 
 from tarnfield.functions import text as T
 from tarnfield.scratch import drop_path, scratch_path
@@ -670,7 +671,7 @@ def _near(index: Index, queries: list[Query], known: dict[Phrase, int], k: int,
     wanted: dict[int, set[int]] = {}
     for h in near:
         wanted.setdefault(h[1], set()).add(h[2])
-    listed = index.spark.createDataFrame([(s, sorted(o)) for s, o in wanted.items()], "shard long, wanted array<int>")
+    listed = index.spark.createDataFrame(pa.table({"shard": pa.array(list(wanted), pa.int64()), "wanted": pa.array([sorted(o) for o in wanted.values()], pa.list_(pa.int32()))}), "shard long, wanted array<int>")
     pick = lambda c: F.transform("wanted", lambda o: F.get(c, o))
     rows = index.entries.where((F.col("field") == NAMES) & F.col("shard").isin(sorted(wanted))).join(F.broadcast(listed), "shard")
     own = {r["shard"]: dict(zip(r["wanted"], zip(r["c"], r["d"], strict=True), strict=True)) for r in rows.select("shard", "wanted", pick("chunk_ids").alias("c"), pick("doc_ids").alias("d")).collect()}
@@ -720,9 +721,17 @@ def _hit_type(kind) -> StructType:
     return StructType([StructField(n, t) for n, t in fields])
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Rows of the driver as a table; those of plain types come as Arrow, without workers of another kind beside those of the searches."""
+    if not all(isinstance(f.dataType, (StringType, IntegralType, DoubleType)) for f in schema):
+        return spark.createDataFrame(rows, schema)
+    columns = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.names), schema)
+
+
 def _with_ids(rows: DataFrame, ids: list, kind) -> DataFrame:
     """q becomes query_id."""
-    names = rows.sparkSession.createDataFrame(list(enumerate(ids)), StructType([StructField("q", IntegerType()), StructField("query_id", kind)]))
+    names = _local(rows.sparkSession, list(enumerate(ids)), StructType([StructField("q", IntegerType()), StructField("query_id", kind)]))
     return rows.join(F.broadcast(names), "q").drop("q")  # one block of queries
 
 
@@ -740,7 +749,7 @@ def search_index(queries: DataFrame, index: Index, k: int | None = None, within:
         known = term_frequencies(index, {p for q in asked for p in q.phrases})
         few = k is not None and len(asked) <= NEAR_QUERIES
         if few and (hits := _near(index, asked, known, k, within) if asked else []) is not None:
-            part = index.spark.createDataFrame([(ids[q], *rest) for q, *rest in _ranked(hits, k)], _hit_type(kind))
+            part = _local(index.spark, [(ids[q], *rest) for q, *rest in _ranked(hits, k)], _hit_type(kind))
         else:
             named = _places(index, asked, known, k, within).join(index.named(), ["shard", "ord"])
             if k is not None:

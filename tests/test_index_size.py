@@ -47,3 +47,17 @@ def test_positions_are_asked_for_phrases_alone(spark, tmp_path, monkeypatch):
         size = {t: sum(len(r["data"]) - 12 * r["n"] for r in rows if r["term"] == t) for t in ("alpha", "foo", "bar")}
         assert {r["term"] for r in rows} == {"alpha", "foo", "bar", "go"}
         assert size == {"alpha": 0, "foo": 4 * whole["foo"], "bar": 4 * whole["bar"]}
+
+
+def test_local_rows_need_no_python_workers(spark, tmp_path, monkeypatch):
+    """Hits that were ranked on the driver and the ids of queries are local tables, not pickled ones."""
+    _, chunks = corpus(spark)
+    index = L.build_index(chunks, f"{tmp_path}/ix")
+    asked = spark.range(1).selectExpr("id AS query_id", "'alpha' AS text")
+    for few in (500, 0):
+        monkeypatch.setattr(L, "NEAR_QUERIES", few)
+        hits = L.search_index(asked, index, 3)
+        assert "ExistingRDD" not in hits._jdf.queryExecution().toString()
+        assert [r["rank"] for r in hits.orderBy("rank").collect()] == [1, 2, 3] and hits.schema["query_id"].dataType.simpleString() == "bigint"
+    dates = spark.sql("SELECT DATE '2024-01-01' AS query_id, 'alpha' AS text")
+    assert {str(r["query_id"]) for r in L.search_index(dates, index, 3).collect()} == {"2024-01-01"}
